@@ -178,7 +178,6 @@ def classes(nodes, links):
 def test_secrets_find_base_spans_and_confirm_structure(spark):
     import base64
 
-    der = bytes.fromhex("30220201010420") + bytes(range(32)) [:29] + b""
     der = bytes([0x30, 37, 2, 1, 1, 4, 32]) + bytes(range(32))
     ssh = b"\0\0\0\x0bssh-ed25519\0\0\0\x20" + bytes(range(32))
     enc = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
@@ -205,7 +204,7 @@ def test_secrets_find_base_spans_and_confirm_structure(spark):
         assert set(filter(None, joined.split(","))) <= set(r["spans"].split(","))
         assert all(f["value"] == text[f["start"] : f["end"]] for f in r["found"])
     kinds = {r["doc_id"]: {f["kind"] for f in r["found"]} for r in got}
-    assert kinds[1] == {"der", "ssh"} and kinds[2] >= {"token"} and kinds[3] == {"hexder"} and kinds[8] >= {"pem"}
+    assert kinds[1] == {"der", "ssh"} and kinds[2] >= {"token"} and kinds[3] >= {"hexder"} and kinds[8] >= {"pem"}
     assert not kinds[4] and not kinds[5] and not kinds[6] and not kinds[9]
     broken = base64.b64encode(der[:1] + bytes([40]) + der[2:]).decode()
     assert not secrets.confirmed_spans("key " + broken)
@@ -265,19 +264,17 @@ def test_mix_reaches_targets(spark):
     docs = frame(spark, rows)
     got = mixing.mix_plan(docs, shards=4, block_docs=16).collect()
     assert len(got) == len(rows)
-    sizes, smallest = Counter(), {}
+    sizes = Counter()
     for _, t, s in rows:
         sizes[s] += len(WORD.findall(t or ""))
     want = brute_targets(dict(sizes))
     taken = Counter()
-    by = {(i, s): t for i, t, s in rows}
     assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((i, len(WORD.findall(t or ""))) for i, t, _ in rows)
     source_of = {sizes[s]: s for s in sizes}
     for r in got:
         s = source_of[r["source_size"]]
         assert r["target"] == pytest.approx(want[s]) and len(r["draws"]) <= 2
         taken[s] += r["size"] * len(r["draws"])
-    assert by and not smallest
     for s in sizes:
         assert taken[s] <= want[s] + 1e-6 and want[s] - taken[s] <= max(60, 0.1 * want[s])
     again = mixing.mix_plan(docs.repartition(5), shards=4, block_docs=16).collect()
