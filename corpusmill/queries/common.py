@@ -55,7 +55,7 @@ words as (select doc_id, unnest({sql_tokens('text')}) as term from documents),
 postings as (select doc_id, term, count(*) as tf from words group by 1, 2),
 lengths as (select doc_id, len({sql_tokens('text')}) as dl from documents),
 stats as (select count(*) as n_docs, avg(dl) as avgdl, sum(dl) as total from lengths),
-terms as (select term, count(*) as df, sum(tf) as cf from postings group by 1),
+terms as (select term, count(*) as df, sum(tf)::bigint as cf from postings group by 1),
 query as (
   select qid, term, count(*) as qtf from (select item_id as qid, unnest({sql_tokens('text')}) as term from benchmark) group by 1, 2)
 """
