@@ -11,8 +11,8 @@ looks up its run.
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,37 +27,64 @@ from corpusmill.llm.prefix_sums import with_sum_before
 from corpusmill.plans.durable import Scratch
 
 LENGTH, END_ID = 2048, 0
-_CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
+#: Letters that stay one letter when composed.
+_LOWER = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿß"
+_PLAIN = frozenset(_LOWER + "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_NOT_LOWER = str.maketrans("", "", _LOWER)
+#: Byte-level models name a byte by its Latin-1 sign; those without a visible one come from 256 on.
+_UNSEEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+_BYTE_NAMES = {b: 256 + k for k, b in enumerate(_UNSEEN)}
 
 
 class ChunkTokenizer:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Ids of whole UTF-8 texts as little-endian unsigned 32-bit bytes.
 
     The vocabulary's pattern never crosses white space and its normaliser keeps what lies between,
-    so a text's ids are those of its chunks. Chunks seen before are kept up to a bound.
+    so a text's ids are those of its chunks. It also parts a plain letter from a comma or full stop
+    and lower-cases, so a chunk may be had from another one; a word of plain small letters is one
+    word of the model. Chunks are kept up to ``keep`` of them.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread for each task
         from tokenizers import Tokenizer
 
-        self.model, self.keep, self.known = Tokenizer.from_file(path), keep, {}
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > self.keep:
-            self.known.clear()
-        out, known = [], self.known
+        self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
+        self.model = self.tokenizer.model
+        self.marks = {"": b"", **{x: self._encode(x) for x in ",."}}
+
+    def _encode(self, chunk: str) -> bytes:
+        if chunk.translate(_NOT_LOWER):
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        else:
+            ids = [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(_BYTE_NAMES))]
+        return array("I", ids).tobytes()  # 4 bytes each, lowest first: asserted below
+
+    def _learn(self, new: set[bytes]) -> None:
+        known = self.known
+        for chunk in new:
+            stem, mark = chunk.decode("utf-8", "replace"), ""
+            if len(stem) > 1 and stem[-1] in ",." and stem[-2] in _PLAIN:
+                stem, mark = stem[:-1], stem[-1]
+            if stem.isascii() and stem.isalpha():
+                stem = stem.lower()
+            key = stem.encode()
+            if (own := known.get(key)) is None:
+                own = known[key] = self._encode(stem)
+            known[chunk] = own + self.marks[mark]
+
+    def __call__(self, texts: list[bytes | None]) -> Iterator[bytes]:
         for text in texts:
-            chunks = _CHUNK.findall(text) if text else []
-            new = list(set(chunks).difference(known))
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for chunk, e in zip(part, self.model.encode_batch(part, add_special_tokens=False), strict=True):
-                    known[chunk] = np.array(e.ids, dtype="<u4").tobytes()
-            out.append(b"".join(map(known.__getitem__, chunks)))
-            if len(known) > 2 * self.keep:  # a text with very many chunks
-                known.clear()
-        return out
+            if len(self.known) > self.keep:
+                self.known.clear()
+            chunks = text.split() if text else []  # bytes: at ASCII white space only
+            new = set(chunks).difference(self.known)
+            if new:
+                self._learn(new)
+            yield b"".join(map(self.known.__getitem__, chunks))
+
+
+assert array("I", [1]).tobytes() == b"\1\0\0\0"
 
 
 @lru_cache(maxsize=2)
@@ -97,7 +124,7 @@ def tokenise(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int
     A document is the ids of its whole text (null: none), then ``end_id``; one longer than ``length`` is
     cut into pieces of ``length``, of which the last may be shorter. ids is null unless ``keep_ids``.
     """
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
     return narrow.mapInArrow(_piece_batches(vocabulary, length, end_id, keep_ids), schema)
 
