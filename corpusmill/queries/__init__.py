@@ -7,7 +7,7 @@ from importlib import import_module
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _name in ("text", "retrieval", "relational", "ranking"):
+for _name in ("text", "retrieval", "relational", "ranking", "mining"):
     _family = import_module(f"corpusmill.queries.{_name}").FAMILY
     QUERIES |= _family.queries
     ORACLES |= _family.oracles
