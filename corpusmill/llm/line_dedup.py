@@ -24,6 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import let
 from corpusmill.plans.durable import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -150,11 +151,11 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     worded = F.filter(
         F.transform(_trimmed_lines(F.col("text")), lambda x, i: F.when(x != "", i)), lambda i: i.isNotNull()
     )
-    lost = F.sort_array(F.transform("gone", lambda s: F.element_at(worded, s.cast("int") + 1)))
+    lost = let(worded, lambda w: F.sort_array(F.transform("gone", lambda s: F.element_at(w, s.cast("int") + 1))))
     out = own.withColumn("lines_", F.coalesce(F.size(split), F.lit(0))).withColumn(
         "lines_", F.when(F.col("text").isNull(), 0).otherwise(F.col("lines_"))
     ).withColumn("removed_", F.coalesce(F.when(F.col("gone").isNotNull(), lost), F.array().cast("array<int>")))
     stay = F.array_except(F.sequence(F.lit(0), F.col("lines_") - 1), F.col("removed_"))
-    shorter = F.array_join(F.transform(stay, lambda i: F.element_at(split, i + 1)), "\n")
+    shorter = let(split, lambda all_: F.array_join(F.transform(stay, lambda i: F.element_at(all_, i + 1)), "\n"))
     out = out.withColumn("text", F.when(F.size("removed_") > 0, shorter).otherwise(F.col("text")))
     return out.select(*docs.columns, "lines_", "removed_")
