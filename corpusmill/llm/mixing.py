@@ -126,8 +126,8 @@ def mix_plan(docs: DataFrame, shards: int = 8, seed: int = 5, block_docs: int =
     )
     dealt = scratch.save(dealt, "dealt")
     # empty blocks have no documents to draw: the blocks in use are numbered by a seeded order
-    blocks = dealt.groupBy(*of_source, "block").agg(F.sum("size").alias("words"))
-    stride = F.greatest(F.floor(F.col("blocks") * 0.6180339887) , F.lit(1)).cast("long")
+    blocks = scratch.save(dealt.groupBy(*of_source, "block").agg(F.sum("size").alias("words")), "block_sums")
+    stride = F.greatest(F.floor(F.col("blocks") * 0.6180339887), F.lit(1)).cast("long")
     turned = F.pmod(F.col("block") * _coprime(stride, F.col("blocks")) + F.xxhash64(F.lit(seed), "place") % 1_000_003, F.col("blocks"))
     summed = with_sum_before(blocks.withColumn("turn", turned), ["place"], "turn", F.col("words"), "before")
     whole = F.col("before") + F.col("words") <= F.col("rest")
