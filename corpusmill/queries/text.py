@@ -10,17 +10,16 @@ from corpusmill.queries.common import Family, docs, sql_clean, sql_plain, sql_to
 
 FAMILY = Family()
 query = FAMILY.query
-TEXT = F.col("text")
 
 
 @query(f"select doc_id, {sql_clean('text')} as cleaned, len({sql_tokens('text')}) as n_tokens from documents")
 def clean_tokens(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", T.clean(TEXT).alias("cleaned"), F.size(T.tokens(TEXT)).cast("long").alias("n_tokens"))
+    return docs(spark, sf_dir).select("doc_id", T.clean(F.col("text")).alias("cleaned"), F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
 @query("select doc_id, md5(strip_accents(lower(text))) as plain_md5, lower(text) <> strip_accents(lower(text)) as marked from documents")
 def strip_marks(spark, sf_dir):
-    low = F.lower(TEXT)
+    low = F.lower(F.col("text"))
     return docs(spark, sf_dir).select("doc_id", F.md5(T.strip_marks(low)).alias("plain_md5"), T.has_marks(low).alias("marked"))
 
 
@@ -30,7 +29,7 @@ _BIGRAMS = "list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || '_'
 @query(f"""with d as (select {sql_tokens('text')} as t from documents), g as (select unnest({_BIGRAMS}) as bigram from d)
 select bigram, count(*) as n from g group by 1 order by n desc, bigram limit 100""")
 def bigram_counts(spark, sf_dir):
-    grams = docs(spark, sf_dir).select(F.explode(T.ngrams(T.tokens(TEXT), 2)).alias("bigram"))
+    grams = docs(spark, sf_dir).select(F.explode(T.ngrams(T.tokens(F.col("text")), 2)).alias("bigram"))
     return grams.groupBy("bigram").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "bigram").limit(100)
 
 
@@ -38,7 +37,7 @@ def bigram_counts(spark, sf_dir):
 g as (select unnest(list_concat(t, {_BIGRAMS})) as term from d)
 select count(*) as n_terms, count(distinct term) as vocabulary, count(*) filter (contains(term, '_')) as n_bigrams from g""")
 def unigrams_and_bigrams(spark, sf_dir):
-    terms = docs(spark, sf_dir).select(F.explode(T.with_bigrams(T.tokens(TEXT))).alias("term"))
+    terms = docs(spark, sf_dir).select(F.explode(T.with_bigrams(T.tokens(F.col("text")))).alias("term"))
     return terms.agg(
         F.count("*").alias("n_terms"), F.count_distinct("term").alias("vocabulary"), F.count_if(F.col("term").contains("_")).alias("n_bigrams")
     )
@@ -48,7 +47,7 @@ def unigrams_and_bigrams(spark, sf_dir):
 g as (select unnest(case when length(p) <= 3 then [p] else list_transform(generate_series(1, length(p) - 2), lambda i: p[i:i + 2]) end) as gram from w)
 select gram, count(*) as n from g group by 1""")
 def char_ngrams_padded(spark, sf_dir):
-    grams = docs(spark, sf_dir).select(F.explode(T.char_ngrams_padded(T.tokens(TEXT), 3)).alias("gram"))
+    grams = docs(spark, sf_dir).select(F.explode(T.char_ngrams_padded(T.tokens(F.col("text")), 3)).alias("gram"))
     return grams.groupBy("gram").agg(F.count("*").alias("n"))
 
 
@@ -57,7 +56,7 @@ g as (select doc_id, case when length(p) = 0 then [] when length(p) <= 5 then [p
   else list_transform(generate_series(1, length(p) - 4), lambda i: p[i:i + 4]) end as grams from j)
 select doc_id, len(grams) as n_grams, len(list_distinct(grams)) as n_distinct from g""")
 def char_ngrams_across(spark, sf_dir):
-    grams = T.char_ngrams_across(T.tokens(TEXT), 5)
+    grams = T.char_ngrams_across(T.tokens(F.col("text")), 5)
     return docs(spark, sf_dir).select("doc_id", grams.alias("g")).select(
         "doc_id", F.size("g").cast("long").alias("n_grams"), F.size(F.array_distinct("g")).cast("long").alias("n_distinct")
     )
@@ -69,7 +68,7 @@ _SHINGLES = """case when len(t) = 0 then [] when len(t) <= 5 then [array_to_stri
 
 @query(f"with d as (select doc_id, {sql_plain('text')} as t from documents) select doc_id, len({_SHINGLES}) as n_shingles from d")
 def shingles5(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.size(T.shingles(T.plain_tokens(TEXT))).cast("long").alias("n_shingles"))
+    return docs(spark, sf_dir).select("doc_id", F.size(T.shingles(T.plain_tokens(F.col("text")))).cast("long").alias("n_shingles"))
 
 
 @query(f"""with l as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: len({sql_tokens('x')}) > 0) as lines from documents),
@@ -102,7 +101,7 @@ def line_clean_cut(spark, sf_dir):
   '(?:^|\s)(?:@|/?u/)[A-Za-z0-9_.-]{3,}', ' [user]', 'g'), '\+?[0-9][0-9 ().-]{7,}[0-9]', '[phone]', 'g') as scrubbed from documents)
 select doc_id, md5(scrubbed) as scrubbed_md5, contains(scrubbed, '[email]') as had_email, contains(scrubbed, '[phone]') as had_phone from s""")
 def pii_scrub(spark, sf_dir):
-    out = docs(spark, sf_dir).select("doc_id", T.scrub(TEXT).alias("s"))
+    out = docs(spark, sf_dir).select("doc_id", T.scrub(F.col("text")).alias("s"))
     return out.select("doc_id", F.md5("s").alias("scrubbed_md5"), F.col("s").contains("[email]").alias("had_email"), F.col("s").contains("[phone]").alias("had_phone"))
 
 
@@ -121,7 +120,7 @@ t as (select sum(f) as top from (select f from c order by f desc limit 10))
 select sum(f)::bigint as n_tokens, count(*) as n_types, round(count(*) filter (f = 1) / count(*), 6) as hapax_share,
   round(any_value(top) / sum(f), 6) as top10_share from c cross join t""")
 def token_stats(spark, sf_dir):
-    counts = docs(spark, sf_dir).select(F.explode(T.tokens(TEXT)).alias("term")).groupBy("term").agg(F.count("*").alias("f"))
+    counts = docs(spark, sf_dir).select(F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("f"))
     top = counts.orderBy(F.desc("f")).limit(10).agg(F.sum("f").alias("top"))
     return counts.agg(
         F.sum("f").alias("n_tokens"), F.count("*").alias("n_types"), F.round(F.count_if(F.col("f") == 1) / F.count("*"), 6).alias("hapax_share")
@@ -141,7 +140,7 @@ s as (
   union all select 'no_stop_words_no_marks', count(distinct p), count(*) from v where not stop)
 select strategy, vocabulary, n_tokens, round(100.0 * (1 - n_tokens / max(n_tokens) over ()), 4) as token_reduction from s""")
 def vocab_strategies(spark, sf_dir):
-    words = docs(spark, sf_dir).select(F.explode(T.tokens(TEXT)).alias("t"))
+    words = docs(spark, sf_dir).select(F.explode(T.tokens(F.col("text"))).alias("t"))
     # one aggregation of types serves all four strategies
     types = words.groupBy("t").agg(F.count("*").alias("n")).withColumn("p", T.strip_marks(F.col("t"))).withColumn("stop", F.col("t").isin(*_STOP))
     kinds = F.explode(F.array(
@@ -159,7 +158,7 @@ g as (select p, count(*) as forms, max(n) as best, sum(n) as n from c group by 1
 select forms, count(*) as n_plain, sum(n)::bigint as n_tokens, round(sum(best) / sum(n), 6) as most_frequent_accuracy from g group by 1""")
 def stripped_ambiguity(spark, sf_dir):
     """How many marked forms a plain word has, and how often the most frequent one is right."""
-    counts = docs(spark, sf_dir).select(F.explode(T.tokens(TEXT)).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    counts = docs(spark, sf_dir).select(F.explode(T.tokens(F.col("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
     forms = counts.groupBy(T.strip_marks(F.col("t")).alias("p")).agg(F.count("*").alias("forms"), F.max("n").alias("best"), F.sum("n").alias("n"))
     return forms.groupBy("forms").agg(
         F.count("*").alias("n_plain"), F.sum("n").alias("n_tokens"), F.round(F.sum("best") / F.sum("n"), 6).alias("most_frequent_accuracy")
@@ -170,7 +169,7 @@ def stripped_ambiguity(spark, sf_dir):
 select lang, count(*) as n_docs, round(avg(n), 4) as mean, round(quantile_cont(n, 0.1), 4) as p10, round(quantile_cont(n, 0.5), 4) as median,
   round(quantile_cont(n, 0.9), 4) as p90 from d group by 1""")
 def length_summary(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("lang", F.size(T.tokens(TEXT)).alias("n"))
+    rows = table(spark, sf_dir, "documents").select("lang", F.size(T.tokens(F.col("text"))).alias("n"))
     p = F.percentile("n", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
     return rows.groupBy("lang").agg(F.count("*").alias("n_docs"), F.round(F.avg("n"), 4).alias("mean"), p.alias("p")).select(
         "lang", "n_docs", "mean", F.round(F.col("p")[0], 4).alias("p10"), F.round(F.col("p")[1], 4).alias("median"), F.round(F.col("p")[2], 4).alias("p90")
@@ -181,7 +180,7 @@ def length_summary(spark, sf_dir):
 r as (select *, sum(n) over (partition by lang) as total, row_number() over (partition by lang order by n desc, word) as k from c)
 select lang, word, n, round(n / total, 6) as share from r where k = 1""")
 def first_words(spark, sf_dir):
-    first = table(spark, sf_dir, "documents").select("lang", F.try_element_at(T.tokens(TEXT), F.lit(1)).alias("word")).where("word is not null")
+    first = table(spark, sf_dir, "documents").select("lang", F.try_element_at(T.tokens(F.col("text")), F.lit(1)).alias("word")).where("word is not null")
     counts = first.groupBy("lang", "word").agg(F.count("*").alias("n"))
     return counts.groupBy("lang").agg(F.min_by(F.struct("word", "n"), F.struct(-F.col("n"), "word")).alias("b"), F.sum("n").alias("t")).select(
         "lang", "b.word", "b.n", F.round(F.col("b.n") / F.col("t"), 6).alias("share")
@@ -192,7 +191,7 @@ def first_words(spark, sf_dir):
 select count(*) filter (regexp_matches(w, '^[0-9]+$')) as numbers, count(*) filter (contains(w, '-')) as hyphens,
   count(*) filter (contains(w, '''')) as apostrophes, count(*) as n from t""")
 def token_shapes(spark, sf_dir):
-    words = docs(spark, sf_dir).select(F.explode(F.regexp_extract_all(TEXT, F.lit(r"[^\s]+"), F.lit(0))).alias("w"))
+    words = docs(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(r"[^\s]+"), F.lit(0))).alias("w"))
     w = F.col("w")
     return words.agg(
         F.count_if(w.rlike("^[0-9]+$")).alias("numbers"), F.count_if(w.contains("-")).alias("hyphens"),
@@ -207,7 +206,7 @@ k as (select case when n < 40 then 'short' when marked < 0.02 then 'few_marks' w
 select reason, count(*) as n_docs from k group by 1""")
 def filter_reasons(spark, sf_dir):
     """A cascade of filters: the first reason that holds counts."""
-    words = docs(spark, sf_dir).select(T.tokens(TEXT).alias("t"))
+    words = docs(spark, sf_dir).select(T.tokens(F.col("text")).alias("t"))
     marked = F.size(F.filter("t", T.has_marks)) / F.greatest(F.size("t"), F.lit(1))
     reason = (
         F.when(F.size("t") < 40, "short").when(marked < 0.02, "few_marks")
@@ -244,7 +243,7 @@ def title_keys(spark, sf_dir):
 @query(r"""with q as (select doc_id, unnest(regexp_extract_all(text, '"([^"]+)"', 1)) as fragment from documents)
 select doc_id, fragment from q where len(regexp_extract_all(fragment, '\S+')) >= 2""")
 def quoted_fragments(spark, sf_dir):
-    rows = docs(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all(TEXT, F.lit('"([^"]+)"'), F.lit(1))).alias("fragment"))
+    rows = docs(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all(F.col("text"), F.lit('"([^"]+)"'), F.lit(1))).alias("fragment"))
     return rows.where(F.regexp_count("fragment", F.lit(r"\S+")) >= 2)
 
 
