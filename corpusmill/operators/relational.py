@@ -55,13 +55,21 @@ def match_cascade(left: DataFrame, right: DataFrame, base: str, exact: str, size
     Rows meet on ``base``; rules in order: equal ``exact`` with sizes within ``near``; equal ``exact`` within
     ``far``; else within 3 times ``far``. Of one rule the nearest size wins, then the smaller id.
     """
-    a = left.select(F.col("id").alias("l_id"), F.col(base).alias("b"), F.col(exact).alias("l_x"), F.col(size).alias("l_s"))
-    b = right.select(F.col("id").alias("r_id"), F.col(base).alias("b"), F.col(exact).alias("r_x"), F.col(size).alias("r_s"))
-    diff = F.abs(F.col("l_s") - F.col("r_s"))
-    same = F.col("l_x") == F.col("r_x")
-    rule = F.when(same & (diff <= near), 0).when(same & (diff <= far), 1).when(diff <= 3 * far, 2)
-    met = a.join(b, "b").where("l_id <> r_id").select("l_id", "r_id", rule.alias("rule"), diff.alias("diff")).where("rule is not null")
-    return met.groupBy("l_id").agg(F.min(F.struct("rule", "diff", "r_id")).alias("m")).select("l_id", "m.r_id", "m.rule", "m.diff")
+    best = lambda met: met.groupBy("l_id").agg(F.min(F.struct("rule", "diff", "r_id")).alias("m")).select("l_id", "m.r_id", "m.rule", "m.diff")
+    a = left.select(F.col("id").alias("l_id"), F.col(base).alias("b"), F.col(exact).alias("x"), F.col(size).alias("l_s"))
+    b = right.select(F.col("id").alias("r_id"), F.col(base).alias("b"), F.col(exact).alias("x"), F.col(size).alias("r_s"))
+    diff = F.abs(F.col("l_s") - F.col("r_s")).alias("diff")
+
+    def met(own, keys, width, rule):
+        """Partners lie in the same cell of sizes or beside it."""
+        cell = lambda c: F.floor(F.col(c) / width)
+        near_cells = own.withColumn("cell", F.explode(F.sequence(cell("l_s") - 1, cell("l_s") + 1)))
+        pairs = near_cells.drop("x" if "x" not in keys else "").join(b.withColumn("cell", cell("r_s")), [*keys, "cell"]).where("l_id <> r_id")
+        return pairs.select("l_id", "r_id", diff).where(F.col("diff") <= width).select("l_id", "r_id", rule.alias("rule"), "diff")
+
+    first = best(met(a, ["b", "x"], far, F.when(F.col("diff") <= near, 0).otherwise(1)))
+    rest = best(met(a.join(first, "l_id", "left_anti"), ["b"], 3 * far, F.lit(2)))  # only those without a partner so far
+    return first.unionByName(rest)
 
 
 def top_values(df: DataFrame, attributes: list[str], k: int) -> DataFrame:

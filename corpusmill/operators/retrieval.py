@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import tokens
+from corpusmill.plans.durable import Scratch
 
 
 @dataclass
@@ -28,15 +29,21 @@ class Index:
 
 
 def build_index(docs: DataFrame, terms: Column | None = None) -> Index:
-    """Index of (doc_id, text); ``terms`` is an analyzer over ``text`` that gives an array. Texts without terms count in N."""
+    """Index of (doc_id, text); ``terms`` is an analyzer over ``text`` that gives an array. Texts without terms count in N.
+
+    Texts are read and analysed once: the postings are written, and lengths and statistics come from them.
+    """
     terms = tokens(F.col("text")) if terms is None else terms
-    analysed = docs.select("doc_id", terms.alias("terms"))
-    postings = analysed.select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    lengths = analysed.select("doc_id", F.size("terms").cast("long").alias("dl"))
+    scratch = Scratch(docs.sparkSession, "index")
+    exploded = docs.select("doc_id", F.explode(terms).alias("term"))
+    postings = scratch.save(exploded.groupBy("doc_id", "term").agg(F.count("*").alias("tf")), "postings")
+    sums = postings.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+    lengths = docs.select("doc_id").join(sums, "doc_id", "left").na.fill({"dl": 0})
+    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    stats = docs.agg(F.count("doc_id").alias("n_docs")).crossJoin(total)
     return Index(
-        postings, lengths,
-        postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")),
-        lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), F.sum("dl").alias("total")),
+        postings, scratch.save(lengths, "lengths"), scratch.save(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), "terms"),
+        scratch.save(stats.select("n_docs", (F.col("total") / F.col("n_docs")).alias("avgdl"), "total"), "stats"),
     )
 
 

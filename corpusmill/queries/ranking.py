@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions.text import char_ngrams_padded, plain_tokens, tokens
 from corpusmill.operators import evaluation as E
 from corpusmill.operators import fusion, retrieval
+from corpusmill.plans.durable import Scratch
 from corpusmill.queries.common import SQL_BM25, Family, asked, docs, sql_plain, sql_tokens, sql_top, table
 
 FAMILY = Family()
@@ -21,13 +22,13 @@ def _runs(spark, sf_dir, depth=20):
         terms = analyse(F.col("text"))
         run = retrieval.top_k(retrieval.bm25(retrieval.build_index(d, terms), retrieval.query_terms(q, terms)), depth).withColumn("system", F.lit(name))
         out = run if out is None else out.unionByName(run)
-    return out
+    return Scratch(spark, "runs").save(out, "runs")  # depth rows a query and system, used more than once
 
 
 def _targets(spark, sf_dir):
     """(qid, doc_id): documents that hold the first eight words of a passage in a row."""
     first = asked(spark, sf_dir).select("qid", F.array_join(F.slice(tokens(F.col("text")), 1, 8), " ").alias("text"))
-    return retrieval.phrase_matches(docs(spark, sf_dir), first).select("qid", "doc_id")
+    return Scratch(spark, "targets").save(retrieval.phrase_matches(docs(spark, sf_dir), first).select("qid", "doc_id"), "targets")
 
 
 _PLAIN = f"""
