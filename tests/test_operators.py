@@ -339,3 +339,20 @@ def test_comment_trees_flatten(spark):
     tree = json.dumps({"id": "1", "author": "a", "body": "x", "score": 2, "replies": [leaf]})
     got = readers.comment_rows(spark.createDataFrame([("p", tree)], "post string, tree string"), 4).orderBy("id").collect()
     assert [(r["id"], r["parent"], r["level"]) for r in got] == [("1", None, 0), ("2", "1", 1)]
+
+
+def test_answers_are_accepted_by_title_and_name(spark):
+    from corpusmill.operators import resolution
+
+    catalogue = spark.createDataFrame([(1, "the long road home", "anna"), (2, "rain", "bo"), (3, "rain", "cy")], "cluster int, title string, artist string")
+    answers = spark.createDataFrame([(1, "It is The Long Road Home by Anna"), (2, "maybe rain"), (3, "the long road home"), (4, "no idea")], "id int, text string")
+    got = {r["id"]: (r["cluster"], r["decision"]) for r in resolution.resolve_answers(answers, catalogue).collect()}
+    assert got == {1: (1, "accept"), 2: (2, "review"), 3: (1, "review")}
+
+
+def test_bleu_is_one_for_equal_texts(spark):
+    from corpusmill.operators import resolution
+
+    words = "a b c d e f".split()
+    assert resolution.bleu(spark.createDataFrame([(1, words, words)], "id int, said array<string>, truth array<string>")).first()["bleu"] == 1.0
+    assert resolution.bleu(spark.createDataFrame([(1, words, ["x"] * 6)], "id int, said array<string>, truth array<string>")).first()["bleu"] == 0.0
