@@ -138,3 +138,19 @@ def interleave(runs: DataFrame, a: str, b: str, depth: int = 10, seed: str = "1"
     kinds = dict(runs.dtypes)
     cut = runs.where(F.col("system").isin(a, b) & (F.col("rank") <= depth)).select("system", "qid", "doc_id", "rank")
     return cut.groupBy("qid").applyInPandas(draft, f"qid {kinds['qid']}, place int, doc_id {kinds['doc_id']}, team string")
+
+
+def rerank(run: DataFrame, scores: DataFrame, depth: int, alpha: float = 1.0) -> DataFrame:
+    """(qid, doc_id, rank): the first ``depth`` of (qid, doc_id, rank, score) ordered anew, the others behind them as they were.
+
+    ``scores`` (qid, doc_id, new) may come from any model. Both scores are scaled to 0..1 among the first
+    ``depth`` (equal scores: 0) and mixed with ``alpha`` for the new one; a document without a new score has 0.
+    """
+    head = Window.partitionBy("qid", F.col("rank") <= depth)
+    scaled = lambda c: F.when(F.max(c).over(head) > F.min(c).over(head), (F.col(c) - F.min(c).over(head)) / (F.max(c).over(head) - F.min(c).over(head))).otherwise(0.0)
+    both = run.join(scores, ["qid", "doc_id"], "left").na.fill({"new": 0.0})
+    mixed = F.round(alpha * scaled("new") + (1 - alpha) * scaled("score"), 9)
+    key = F.when(F.col("rank") <= depth, mixed)
+    own = both.select("qid", "doc_id", "rank", key.alias("key"))
+    order = Window.partitionBy("qid").orderBy(F.desc_nulls_last("key"), "rank", "doc_id")
+    return own.withColumn("new_rank", F.row_number().over(order)).select("qid", "doc_id", F.col("new_rank").alias("rank"))

@@ -233,3 +233,14 @@ def snippets(docs: DataFrame, hits: DataFrame, query: DataFrame) -> DataFrame:
     score = F.round(F.col("hit_terms") / F.pow(F.greatest("n", F.lit(1)), F.lit(0.3)), 6)
     best = Window.partitionBy("qid", "doc_id").orderBy(F.desc("score"), "line_no")
     return held.withColumn("score", score).withColumn("r", F.row_number().over(best)).where("r = 1").select("qid", "doc_id", "line_no", "line", "hit_terms")
+
+
+def highlighted(lines: DataFrame, query: DataFrame) -> DataFrame:
+    """(qid, doc_id, marked, match): lines of (qid, doc_id, line) with query terms between em tags, and none, partial or full."""
+    terms = query.groupBy("qid").agg(F.collect_set("term").alias("asked"))
+    joined = lines.join(terms, "qid", "left").withColumn("asked", F.coalesce("asked", F.array().cast("array<string>")))
+    bare = lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", "")
+    marked = F.transform(F.split("line", " "), lambda w: F.when(F.array_contains("asked", bare(w)), F.concat(F.lit("<em>"), w, F.lit("</em>"))).otherwise(w))
+    hits = F.size(F.array_intersect(F.transform(F.split("line", " "), bare), F.col("asked")))
+    level = F.when(hits == 0, "none").when(hits == F.size("asked"), "full").otherwise("partial")
+    return joined.select("qid", "doc_id", F.array_join(marked, " ").alias("marked"), level.alias("match"))

@@ -38,8 +38,8 @@ def spelling_candidates(words: DataFrame, vocabulary: DataFrame, k: int = 12) ->
     return out.select("word", F.col("form").alias("candidate"), "cost", "n", "place")
 
 
-def best_spelling(candidates: DataFrame, pairs: DataFrame, texts: DataFrame, width: int = 10) -> DataFrame:
-    """(qid, corrected, score): the cheapest reading of (qid, words) by candidate costs and bigram counts.
+def best_readings(candidates: DataFrame, pairs: DataFrame, texts: DataFrame, best: int = 1, width: int = 10) -> DataFrame:
+    """(qid, place, reading, score): the ``best`` cheapest readings of (qid, words) by candidate costs and bigram counts.
 
     ``candidates`` as above, ``pairs`` (u, w, c). Candidates of a text's words and the counts of the pairs they
     can form are gathered for each text, which bounds them by its length; a beam decodes each text.
@@ -70,11 +70,18 @@ def best_spelling(candidates: DataFrame, pairs: DataFrame, texts: DataFrame, wid
                             seen = counts.get((path[-1], form), 0) if path else 0
                             grown.append((score - cost + 0.2 * math.log1p(n) + math.log1p(seen), (*path, form)))
                     beam = sorted(grown, key=lambda x: (-x[0], x[1]))[:width]
-                rows.append((qid, " ".join(beam[0][1]), round(beam[0][0], 6)))
-            yield pd.DataFrame(rows, columns=["qid", "corrected", "score"])
+                rows += [(qid, k, " ".join(path), round(score, 6)) for k, (score, path) in enumerate(beam[:best], 1)]
+            yield pd.DataFrame(rows, columns=["qid", "place", "reading", "score"])
 
     kind = dict(texts.dtypes)["qid"]
-    return options.join(bigrams, "qid", "left").mapInPandas(decode, f"qid {kind}, corrected string, score double")
+    return options.join(bigrams, "qid", "left").mapInPandas(decode, f"qid {kind}, place int, reading string, score double")
+
+
+def marked_forms(vocabulary: DataFrame, k: int = 8) -> DataFrame:
+    """(word, candidate, cost, n): the k most frequent marked forms of each plain word of (form, n); feeds ``best_readings``."""
+    plain = vocabulary.withColumn("word", strip_marks(F.col("form")))
+    place = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("n"), "form"))
+    return plain.withColumn("p", place).where(F.col("p") <= k).select("word", F.col("form").alias("candidate"), F.lit(0.0).alias("cost"), "n")
 
 
 #: Patterns of time expressions, the first that holds a place wins: (kind, pattern, value).

@@ -193,3 +193,14 @@ def char_gram_run(spark, sf_dir):
     """BM25 over character trigrams inside plain words."""
     terms = char_ngrams_padded(plain_tokens(F.col("text")), 3)
     return retrieval.top_k(retrieval.bm25(retrieval.build_index(docs(spark, sf_dir), terms), retrieval.query_terms(asked(spark, sf_dir), terms)), 10)
+
+
+@query(f"""with {_RUNS}, r as (select qid, doc_id, rank, score, length(text)::double as new, rank <= 5 as head from runs join documents using (doc_id) where system = 'bm25'),
+m as (select qid, doc_id, rank, case when head then round(0.6 * case when max(new) over w > min(new) over w then (new - min(new) over w) / (max(new) over w - min(new) over w) else 0 end
+  + 0.4 * case when max(score) over w > min(score) over w then (score - min(score) over w) / (max(score) over w - min(score) over w) else 0 end, 9) end as key from r window w as (partition by qid, head))
+select qid, doc_id, (row_number() over (partition by qid order by key desc nulls last, rank, doc_id))::int as rank from m""")
+def reranked(spark, sf_dir):
+    """The first five of each ranking ordered anew by text length and score."""
+    scores = docs(spark, sf_dir).select("doc_id", F.length("text").cast("double").alias("new"))
+    run = _bm25(spark, sf_dir)
+    return fusion.rerank(run, run.select("qid", "doc_id").join(scores, "doc_id"), 5, 0.6)

@@ -213,3 +213,14 @@ def maxp_by_label(spark, sf_dir):
 
     v = table(spark, sf_dir, "embeddings")
     return best_of_group(v, "label", v.where("vec_id % 25 = 0"), 3)
+
+
+@query(f"""with {SQL_INDEX}, l as (select q.item_id as qid, doc_id, string_split(d.text, chr(10))[1] as line from documents d join benchmark q on d.doc_id % 40 = q.item_id),
+t as (select qid, list(term) as asked from query group by 1),
+h as (select qid, doc_id, asked, string_split(line, ' ') as ws, list_transform(string_split(line, ' '), lambda w: regexp_replace(lower(w), '[^\\p{{L}}\\p{{N}}]', '', 'g')) as bare from l join t using (qid))
+select qid, doc_id, array_to_string(list_transform(generate_series(1, len(ws)), lambda i: case when list_contains(asked, bare[i]) then '<em>' || ws[i] || '</em>' else ws[i] end), ' ') as marked,
+  case when len(list_intersect(list_distinct(bare), asked)) = 0 then 'none' when len(list_intersect(list_distinct(bare), asked)) = len(asked) then 'full' else 'partial' end as match from h""")
+def highlighted_lines(spark, sf_dir):
+    """First lines with the words of a benchmark passage marked."""
+    lines = docs(spark, sf_dir).select((F.col("doc_id") % 40).alias("qid"), "doc_id", F.split("text", "\n")[0].alias("line"))
+    return R.highlighted(lines, R.query_terms(asked(spark, sf_dir)))
