@@ -465,3 +465,53 @@ def test_pipeline_stages_keep_their_contract(spark):
         empty = stage(spark, empty, sf)
         assert empty.count() == 0
         empty = spark.createDataFrame([], empty.schema) if "text" in empty.columns else empty
+
+
+@pytest.mark.parametrize("group", [0, 150])
+def test_pipeline_keeps_one_of_similar_texts(spark, group):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    rows = [(None, None, "a"), (900, "", "a"), (901, "", "a"), (902, "Two words", "a"), (903, "two  words", "a"), (904, "two words", "a"), (904, "two words", "a")]
+    for k in range(25):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((30, 120, 400)))]
+        rows.append((10 * k, " ".join(words), "a"))
+        for j in range(1, 6):
+            other = list(words)
+            for _ in range(max(1, len(words) * rng.randrange(1, 6) // 100)):
+                other[rng.randrange(len(other))] = f"x{rng.randrange(5000)}"
+            rows.append((10 * k + j, " ".join(other), "a"))
+    base = [f"g{j}" for j in range(200)]
+    for k in range(group):  # one large group: pairs of it are on both sides of the limit
+        other = list(base)
+        for _ in range(4):
+            other[rng.randrange(200)] = f"y{rng.randrange(5000)}"
+        rows.append((1000 + k, " ".join(other), "a"))
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, links = [shingles(t) for _, t, _ in rows], []
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0:
+            links.append((a, b))
+    parts = {}
+    for k, root in enumerate(grouped(len(rows), links)):
+        parts.setdefault(root, []).append(rows[k])
+    want = Counter(min((i for i, _, _ in part if i is not None), default=None) for part in parts.values())
+    got = corpus_pipeline.near_duplicates(spark, frame(spark, rows), "")
+    assert Counter(r["doc_id"] for r in got.collect()) == want
+
+
+def grouped(n, links):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    return [find(x) for x in range(n)]
