@@ -69,12 +69,13 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents are shuffled; sizes and check sums are those of the texts in the shards."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    records = _table(spark, sf_dir, "documents").select(
-        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
-    )
+    size = (F.octet_length(text) + 1).cast("long").alias("size")
+    records = _table(spark, sf_dir, "documents").select("*", size)
     return sharding.shuffle_into_shards(records).select(
-        "doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+        F.col("doc_id").cast("long").alias("doc_id"), size, F.crc32(text).alias("text_crc32"),
+        F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
 
 

@@ -515,3 +515,25 @@ def grouped(n, links):
     for a, b in links:
         root[find(a)] = find(b)
     return [find(x) for x in range(n)]
+
+
+def test_sharding_query_moves_texts_and_takes_digests_from_them(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from corpusmill.llm import queries
+
+    shuffle, seen = sharding.shuffle_into_shards, []
+
+    def spy(records, **options):
+        seen.append(records.columns)
+        out = shuffle(records, **options)
+        return out.withColumn("text", F.concat(F.coalesce(F.col("text"), F.lit("")), F.lit("!")))
+
+    monkeypatch.setattr(sharding, "shuffle_into_shards", spy)
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = queries.op10_sharding(spark, sf).collect()
+    assert seen and set(docs.columns) <= set(seen[0])
+    raw = {r["doc_id"]: ((r["text"] or "") + "!").encode() for r in docs.collect()}
+    assert len(got) == len(raw)
+    assert all(r["text_crc32"] == zlib.crc32(raw[r["doc_id"]]) and r["size"] == len(raw[r["doc_id"]]) + 1 for r in got)
