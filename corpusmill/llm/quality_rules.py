@@ -1,9 +1,10 @@
 """Quality rules: counts of each text, and lines that too many documents of one host share.
 
-Each text is read once for its counts and for the hashes of its distinct normalised lines. Distinct
-documents are counted for each host and line with map-side combine. Lines above the limits count as
-the host's boilerplate; a document that keeps too little without them is depleted and rejected.
-Only hashes and counts are shuffled, never texts.
+Each text is read twice. First the hashes of its distinct normalised lines are taken, and distinct
+documents are counted for each host and line with map-side combine. Lines above the limits are the
+host's boilerplate: their hashes are joined back to the texts by host, and the texts are returned
+without them. A document that keeps too little is depleted and rejected. The first pass shuffles hashes
+alone; texts are shuffled only where the boilerplate of all hosts is too large to broadcast.
 """
 
 from __future__ import annotations
@@ -56,32 +57,57 @@ def repeat_words(words: list[str], window: int = 3) -> int:
     return int(covered.sum())
 
 
-def text_counts(text: str) -> tuple[int, int, int, int, int, list[tuple[int, int]]]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; (hash, words) of distinct normalised lines."""
+def _line_key(words: list[str]) -> int:
+    digest = xxhash.xxh64_intdigest(" ".join(words).translate(_LOWER).encode("utf-8", "surrogatepass"))
+    return digest - (1 << 63)
+
+
+def line_keys(text: str) -> list[int]:
+    """Hashes of the distinct normalised lines."""
+    return list({_line_key(own): None for line in text.split("\n") if (own := _WORD.findall(line))})
+
+
+def without_lines(text: str, keys: set[int]) -> str:
+    """``text`` without the lines whose normalised form has a hash in ``keys``."""
+    lines = text.split("\n")
+    stay = [line for line in lines if not ((own := _WORD.findall(line)) and _line_key(own) in keys)]
+    return text if len(stay) == len(lines) else "\n".join(stay)
+
+
+def text_counts(text: str) -> tuple[int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     words = _WORD.findall(text)
     seen: set[str] = set()
-    n_dup, lines = 0, {}
+    n_dup = 0
     for line in text.split("\n"):
-        own = _WORD.findall(line)
-        if own:
+        if _WORD.search(line):
             n_dup += line in seen
             seen.add(line)
-            key = xxhash.xxh64_intdigest(" ".join(own).translate(_LOWER).encode("utf-8", "surrogatepass"))
-            lines[key] = lines.get(key, 0) + len(own)
-    counts = len(words), sum(map(len, words)), sum(map(text.count, _SYMBOLS)), n_dup, repeat_words(words)
-    return *counts, [(k - (1 << 63), n) for k, n in lines.items()]
+    return len(words), sum(map(len, words)), sum(map(text.count, _SYMBOLS)), n_dup, repeat_words(words)
 
 
-_LINES = pa.list_(pa.struct([("line", pa.int64()), ("n", pa.int64())]))
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        got = [text_counts(x.as_py() or "") for x in b.column(3)]
-        columns = [b.column(i) for i in range(3)] + [pa.array([g[i] for g in got], pa.int64()) for i in range(5)]
-        columns.append(pa.array([[{"line": k, "n": n} for k, n in g[5]] for g in got], _LINES))
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "host", "text_hash", *_COUNTS, "lines"])
+        lines = pa.array([line_keys(x.as_py() or "") for x in b.column(3)], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column(i) for i in range(3)] + [lines], names=["doc_id", "host", "text_hash", "lines"])
+
+
+def _clean_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts, hosts, boiler = b.column(2).to_pylist(), b.column(1).to_pylist(), b.column(3)
+        keys: dict[str | None, set[int]] = {}
+        for i, h in enumerate(hosts):
+            if h not in keys:
+                keys[h] = set(boiler[i].as_py() or ())
+        clean = [without_lines(t, keys[h]) if t and keys[h] else t for t, h in zip(texts, hosts, strict=True)]
+        got = [text_counts(t or "") for t in texts]
+        left = [len(_WORD.findall(t)) if t else 0 for t in clean]
+        columns = [pa.array([g[i] for g in got], pa.int64()) for i in range(5)]
+        columns += [pa.array(left, pa.int64()), pa.array(clean, pa.string())]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["doc_id", "host", *_COUNTS, "left_words", "text"])
 
 
 def quality_rules(
@@ -91,13 +117,14 @@ def quality_rules(
     min_line_share: float = MIN_LINE_SHARE,
     min_left_share: float = MIN_LEFT_SHARE,
 ) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, host, the counts, base_failed, left_words, kept.
+    """One row for each row of ``docs``: doc_id, host, the counts, base_failed, left_words, kept, text.
 
     Words are runs without ASCII white space, lines what \\n separates, both of the whole text; a
     normalised line is its words, A-Z lower-cased, joined by a space. A line is boilerplate of a host if
     at least ``min_line_docs`` distinct documents and ``min_line_share`` of the host's hold it.
-    left_words: words outside boilerplate; kept: not base_failed, and left_words at least
-    ``min_left_share`` of n_words. Null and empty texts have no words and fail. Rows that repeat
+    The text is returned without the boilerplate lines of its host; its other lines stay as they are.
+    left_words: words of that text; kept: not base_failed, and left_words at least
+    ``min_left_share`` of n_words. The other counts are those of the whole text. Null and empty texts have no words and fail. Rows that repeat
     doc_id, host and text are one document and get equal rows. A null host is a host of its own.
     """
     scratch = Scratch(docs.sparkSession, "rules")
@@ -105,25 +132,20 @@ def quality_rules(
         F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"),
         F.xxhash64("text").alias("text_hash"), F.col("text"),
     )
-    schema = f"doc_id long, host string, text_hash long, {', '.join(f'{c} long' for c in _COUNTS)}, lines array<struct<line:long,n:long>>"
-    counted = scratch.save(narrow.mapInArrow(_count_batches, schema), "counted")
-    # one key for a document, free of nulls, so that joins keep repeated rows and null ids
+    lined = scratch.save(narrow.mapInArrow(_line_batches, "doc_id long, host string, text_hash long, lines array<long>"), "lines")
+    # one key for a document, free of nulls, so that repeated rows and null ids count
     key = F.xxhash64("doc_id", F.col("doc_id").isNull(), "host", F.col("host").isNull(), "text_hash")
-    counted = counted.withColumn("doc", key).withColumn(
-        "host_key", F.when(F.col("host").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("host")))
-    )
-    lines = (
-        counted.select("host_key", "doc", F.explode("lines").alias("l"))
-        .groupBy("host_key", "doc", "l.line").agg(F.first("l.n").alias("n"))
-    )
-    sizes = counted.groupBy("host_key").agg(F.count_distinct("doc").alias("host_docs"))
+    host_key = F.when(F.col("host").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("host"))).alias("host_key")
+    keyed = lined.select(host_key, key.alias("doc"), "lines")
+    lines = keyed.select("host_key", "doc", F.explode("lines").alias("line")).distinct()
+    sizes = keyed.groupBy("host_key").agg(F.count_distinct("doc").alias("host_docs"))
     often = lines.groupBy("host_key", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_line_docs)
     boiler = often.join(sizes, "host_key").where(F.col("n_docs") >= min_line_share * F.col("host_docs")).select("host_key", "line")
-    cut = lines.join(boiler, ["host_key", "line"]).groupBy("doc").agg(F.sum("n").alias("cut_words"))
-    left = F.col("n_words") - F.coalesce("cut_words", F.lit(0))
+    by_host = scratch.save(boiler.groupBy("host_key").agg(F.collect_list("line").alias("boiler")), "boiler")
+    own = narrow.select("doc_id", "host", "text", host_key).join(by_host, "host_key", "left").select("doc_id", "host", "text", "boiler")
+    schema = f"doc_id long, host string, {', '.join(f'{c} long' for c in _COUNTS)}, left_words long, text string"
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return (
-        counted.join(cut, "doc", "left")
-        .select("doc_id", "host", *_COUNTS, failed.alias("base_failed"), left.alias("left_words"))
-        .withColumn("kept", ~F.col("base_failed") & (F.col("left_words") >= min_left_share * F.col("n_words")))
+    return own.mapInArrow(_clean_batches, schema).select(
+        "doc_id", "host", *_COUNTS, failed.alias("base_failed"), "left_words",
+        (~failed & (F.col("left_words") >= min_left_share * F.col("n_words"))).alias("kept"), "text",
     )

@@ -56,7 +56,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(_table(spark, sf_dir, "documents")).drop("host")
+    return quality_rules.quality_rules(_table(spark, sf_dir, "documents")).drop("host", "text")
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

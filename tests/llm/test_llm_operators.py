@@ -517,6 +517,15 @@ def grouped(n, links):
     return [find(x) for x in range(n)]
 
 
+def test_quality_rules_return_texts_without_boilerplate(spark):
+    rows = [(k, f"Shared  LINE one\n\nown {k} text\nshared line one", "h") for k in range(25)]
+    rows += [(100, "shared line one\nown", None), (101, None, "h"), (102, "shared line one", "h")]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(frame(spark, rows)).collect()}
+    assert all(got[k]["text"] == f"\nown {k} text" and got[k]["left_words"] == 3 for k in range(25))
+    assert got[100]["text"] == rows[25][1] and got[100]["left_words"] == 4  # a null host is another host
+    assert got[101]["text"] is None and got[102]["text"] == "" and got[102]["left_words"] == 0
+
+
 def test_sharding_query_moves_texts_and_takes_digests_from_them(spark, monkeypatch):
     from pyspark.sql import functions as F
 
