@@ -1,22 +1,22 @@
 """SimHash near-duplicates, searched by a Gray-order hierarchical index.
 
 Fingerprints are computed in Arrow batches, 64 bit counters a document. Two fingerprints that
-differ in at most three of 64 bits agree in at least two of five bit blocks, so each distinct
-fingerprint is routed to ten keys (a pair of blocks and their bits). Below one key the fingerprints
-are sorted by Gray rank and indexed: runs of neighbours become nodes that hold the bits all their
-members share (mask and pattern), nodes of nodes hold what those share, and a search adds up the
+differ in at most three of 64 bits agree in at least one of four blocks of 16 bits, so each distinct
+fingerprint stands in four orders, each time turned so that another block leads. An order is sorted by
+Gray rank: those that agree in the leading block are neighbours there, and one cell of the order. Every
+cell is searched by the index, whatever its size: runs of neighbours become nodes that hold the bits all
+their members share (mask and pattern), nodes of nodes hold what those share, and a search adds up the
 differences on the way down and leaves a whole group as soon as they exceed the limit.
 
-A key that many distinct fingerprints share is routed again: the differing bits lie in the other
-38 bits, of whose four parts one must be equal. Nothing is capped; what is still large after that is
-searched by the index in memory of 8 bytes a fingerprint. A key emits a spanning forest of its
+A leading block that many distinct fingerprints share is parted into smaller cells: the differing bits lie
+in the other 48 bits, of whose four parts one must be equal. Nothing is capped; what is still large after
+that is searched by the index in memory of 8 bytes a fingerprint. A cell emits a spanning forest of its
 links, never all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +28,12 @@ from corpusmill.operators.components import connected_components
 from corpusmill.plans.durable import Scratch
 
 SEED = 42
-#: Bit blocks as (lowest bit, width).
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: Parts of the 38 or 39 bits outside a pair of blocks.
-PARTS = ((0, 10), (10, 10), (20, 10), (30, 9))
-#: Distinct fingerprints below one key beyond which the key is routed again.
-CROWDED = 4096
+#: Leading blocks of the orders, and parts of the other 48 bits, as (lowest bit, width).
+BLOCK, PARTS = 16, ((0, 12), (12, 12), (24, 12), (36, 12))
+#: Distinct fingerprints with one leading block beyond which they are parted into smaller cells.
+CROWDED = 16_384
+#: Rows that one index is built over, but for larger cells; places that a search holds at once.
+CHUNK, FRONTIER = 32_768, 65_536
 
 
 def simhash64(raw: bytes | None, shingle: int = 3) -> int:
@@ -74,39 +74,32 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return narrow.mapInArrow(_fingerprint_batches(shingle), "doc_id long, fp long, text_hash long")
 
 
-# ---- routing
+# ---- orders and cells
 
 
 def _bits(x: Column, low: int, width: int) -> Column:
     return F.shiftrightunsigned(x, low).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def _packed(x: Column, parts: list[tuple[int, int]]) -> Column:
-    out, at = F.lit(0).cast("long"), 0
-    for low, width in parts:
-        out, at = out.bitwiseOR(F.shiftleft(_bits(x, low, width), at)), at + width
-    return out
+def _turned(x: Column, by: int) -> Column:
+    return x if by == 0 else F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by))
 
 
-def _routed(distinct: DataFrame) -> DataFrame:
-    """(key, rest, fp): ten rows a fingerprint; rest holds the bits that the key leaves out."""
-    fp, routes = F.col("fp"), []
-    for k, pair in enumerate(combinations(range(len(BLOCKS)), 2)):
-        inside = [BLOCKS[i] for i in pair]
-        outside = [b for i, b in enumerate(BLOCKS) if i not in pair]
-        key = F.lit(k << 32).cast("long").bitwiseOR(_packed(fp, inside))
-        routes.append(F.struct(key.alias("key"), _packed(fp, outside).alias("rest")))
-    return distinct.select("fp", F.explode(F.array(*routes)).alias("r")).select("r.key", "r.rest", "fp")
+def _orders(distinct: DataFrame) -> DataFrame:
+    """(lead, turned): four rows a fingerprint; lead is the number of the order and its leading block."""
+    rows = []
+    for k in range(64 // BLOCK):
+        turned = _turned(F.col("fp"), BLOCK * k)
+        rows.append(F.struct(F.lit(k << BLOCK).bitwiseOR(_bits(turned, 64 - BLOCK, BLOCK)).alias("lead"), turned.alias("turned")))
+    return distinct.select(F.explode(F.array(*rows)).alias("r")).select(F.col("r.lead").cast("long").alias("lead"), "r.turned")
 
 
-def _spread(routed: DataFrame, crowded: int) -> DataFrame:
-    """(key, part, fp): keys with more than ``crowded`` fingerprints are dealt by parts of the rest."""
-    many = routed.groupBy("key").count().where(F.col("count") > crowded).select("key", F.lit(True).alias("many"))
-    parts = F.array(
-        *[F.lit(i << 16).cast("long").bitwiseOR(_bits(F.col("rest"), *p)) for i, p in enumerate(PARTS)]
-    )
+def _parted(ordered: DataFrame, crowded: int) -> DataFrame:
+    """(lead, part, turned): a lead with more than ``crowded`` fingerprints is parted."""
+    many = ordered.groupBy("lead").count().where(F.col("count") > crowded).select("lead", F.lit(True).alias("many"))
+    parts = F.array(*[F.lit(i << 16).cast("long").bitwiseOR(_bits(F.col("turned"), *p)) for i, p in enumerate(PARTS)])
     own = F.when(F.col("many"), parts).otherwise(F.array(F.lit(-1).cast("long")))
-    return routed.join(many, "key", "left").select("key", F.explode(own).alias("part"), "fp")
+    return ordered.join(many, "lead", "left").select("lead", F.explode(own).alias("part"), "turned")
 
 
 def gray_rank(x: Column) -> Column:
@@ -120,42 +113,57 @@ def gray_rank(x: Column) -> Column:
 
 
 class GrayIndex:
-    """Hierarchy of masked patterns over fingerprints sorted by Gray rank."""
+    """Hierarchy of masked patterns over fingerprints that stand in cells, each cell sorted by Gray rank."""
 
-    def __init__(self, sorted_fps: np.ndarray, fan: int = 16):
-        self.fps, self.fan, self.levels = sorted_fps, fan, []
-        mask, pattern = np.full(len(sorted_fps), ~np.uint64(0)), sorted_fps
+    def __init__(self, fps: np.ndarray, cells: np.ndarray | None = None, fan: int = 16):
+        self.fan = fan
+        cells = np.zeros(len(fps), dtype=np.int64) if cells is None else cells
+        mask, pattern, first, last = np.full(len(fps), ~np.uint64(0)), fps, cells, cells
+        self.levels = [(mask, pattern, first, last)]
         while len(pattern) > fan:
             heads = np.arange(0, len(pattern), fan)
-            first = np.repeat(pattern[heads], np.diff(np.append(heads, len(pattern))))
-            shared = np.bitwise_and.reduceat(mask, heads) & ~np.bitwise_or.reduceat(pattern ^ first, heads)
-            mask, pattern = shared, pattern[heads] & shared
-            self.levels.append((mask, pattern))
-
-    def search(self, queries: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions (query, fingerprint) of all that differ in at most ``limit`` bits."""
-        n_top = len(self.levels[-1][1]) if self.levels else len(self.fps)
-        q = np.repeat(np.arange(len(queries)), n_top)
-        node = np.tile(np.arange(n_top), len(queries))
-        differing = np.zeros(len(q), dtype=np.int64)
-        above = np.zeros(len(q), dtype=np.uint64)  # bits that are accounted for
-        for depth in range(len(self.levels) - 1, -2, -1):
-            if depth >= 0:
-                mask, pattern = self.levels[depth][0][node], self.levels[depth][1][node]
-            else:
-                mask, pattern = np.full(len(node), ~np.uint64(0)), self.fps[node]
-            differing += np.bitwise_count((queries[q] ^ pattern) & mask & ~above)
-            near = differing <= limit  # else the whole group is left
-            q, node, differing, above = q[near], node[near], differing[near], mask[near]
-            if depth < 0:
-                return q, node
-            below = len(self.levels[depth - 1][1]) if depth else len(self.fps)
-            counts = np.minimum(self.fan, below - node * self.fan)
-            first = np.repeat(node * self.fan, counts)
-            step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            q, differing, above = np.repeat(q, counts), np.repeat(differing, counts), np.repeat(above, counts)
-            node = first + step
-        raise AssertionError("unreachable")
+            lead = np.repeat(pattern[heads], np.diff(np.append(heads, len(pattern))))
+            mask = np.bitwise_and.reduceat(mask, heads) & ~np.bitwise_or.reduceat(pattern ^ lead, heads)
+            pattern, first = pattern[heads] & mask, first[heads]
+            last = last[np.append(heads[1:], len(last)) - 1]
+            self.levels.append((mask, pattern, first, last))
+
+    def search(self, at: np.ndarray, limit: int, frontier: int = FRONTIER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (position asked, later position of its cell) of fingerprints that differ in at most ``limit`` bits.
+
+        The pairs come in pieces: a search never holds more than some times ``frontier`` places.
+        """
+        top, n_top = len(self.levels) - 1, len(self.levels[-1][1])
+        step = max(1, frontier // max(1, n_top))
+        for lo in range(0, len(at), step):
+            own = at[lo : lo + step]
+            q, node = np.repeat(own, n_top), np.tile(np.arange(n_top), len(own))
+            todo = [(top, q, node, np.zeros(len(q), dtype=np.int64), np.zeros(len(q), dtype=np.uint64))]
+            while todo:
+                depth, q, node, differing, above = self._near(*todo.pop(), limit)
+                if depth == 0 and len(q):
+                    yield q, node
+                elif depth:
+                    for lo_ in range(0, len(q), frontier):
+                        todo.append(self._below(depth, *(x[lo_ : lo_ + frontier] for x in (q, node, differing, above))))
+
+    def _near(self, depth: int, q: np.ndarray, node: np.ndarray, differing: np.ndarray, above: np.ndarray, limit: int) -> tuple:
+        """What is left of the places (query, node), with the differences added up and the bits they stand for."""
+        fps, cells = self.levels[0][1:3]
+        mask, pattern, first, last = self.levels[depth]
+        # of the query's own cell, and not wholly before it
+        may = (first[node] <= cells[q]) & (cells[q] <= last[node]) & ((node + 1) * self.fan**depth - 1 > q)
+        q, node, differing, above = q[may], node[may], differing[may], above[may]
+        differing = differing + np.bitwise_count((fps[q] ^ pattern[node]) & mask[node] & ~above)
+        near = differing <= limit  # else the whole group is left
+        q, node, differing = q[near], node[near], differing[near]
+        return depth, q, node, differing, mask[node]
+
+    def _below(self, depth: int, q: np.ndarray, node: np.ndarray, differing: np.ndarray, above: np.ndarray) -> tuple:
+        """The places of all members of the nodes."""
+        counts = np.minimum(self.fan, len(self.levels[depth - 1][1]) - node * self.fan)
+        step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        return (depth - 1, np.repeat(q, counts), np.repeat(node * self.fan, counts) + step, np.repeat(differing, counts), np.repeat(above, counts))
 
 
 def _join(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -175,66 +183,55 @@ def _join(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return labels
 
 
-def _forest(group: np.ndarray, fps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fingerprint, representative) within each run of equal ``group`` values."""
+def cell_links(cells: np.ndarray, fps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (linked, representative) within each run of equal ``cells`` numbers, found by one index."""
     labels = np.arange(len(fps))
-    heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    sizes = np.diff(np.append(heads, len(fps)))
-    small = np.repeat(sizes <= 32, sizes)
-    for shift in range(1, int(sizes[sizes <= 32].max(initial=1))):
-        near = (group[shift:] == group[:-shift]) & small[shift:]
-        near &= np.bitwise_count(fps[shift:] ^ fps[:-shift]) <= limit
-        j = np.flatnonzero(near)
-        labels = _join(labels, j, j + shift)
-    for head, size in zip(heads[sizes > 32], sizes[sizes > 32], strict=True):
-        own = fps[head : head + size]
-        index = GrayIndex(own)
-        step = int(np.clip(4_000_000 // size, 1, 1024))  # what a search can hold at once
-        for at in range(0, size, step):
-            q, found = index.search(own[at : at + step], limit)
-            above = found > q + at
-            labels = _join(labels, q[above] + at + head, found[above] + head)
+    asks = np.flatnonzero(np.bincount(cells, minlength=1)[cells] > 1)  # alone in its cell: no pair
+    for q, found in GrayIndex(fps, cells).search(asks, limit):
+        labels = _join(labels, q, found)
     moved = np.flatnonzero(labels != np.arange(len(fps)))
-    return fps[moved], fps[labels[moved]]
+    return moved, labels[moved]
 
 
-def _links(limit: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []  # rows of the key that the next batch may go on with
+def _links(limit: int, chunk: int):
+    """Rows (lead, part, turned) in the order of cells and Gray ranks -> links; a cell is never cut."""
 
-        def linked(rows: np.ndarray) -> pa.RecordBatch:
-            group = np.cumsum(np.append(0, np.any(rows[1:, :2] != rows[:-1, :2], axis=1)))
-            a, b = _forest(group, rows[:, 2].view(np.uint64), limit)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"]
-            )
+    def linked(parts: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(parts)
+        cells = np.cumsum(np.append(0, np.any(rows[1:, :2] != rows[:-1, :2], axis=1)))
+        turned, by = np.ascontiguousarray(rows[:, 2]).view(np.uint64), (BLOCK * (rows[:, 0] >> BLOCK)).astype(np.uint64)
+        fps = (turned >> by) | (turned << ((np.uint64(64) - by) & np.uint64(63)))
+        ends = [pa.array(fps[i].view(np.int64)) for i in cell_links(cells, turned, limit)]
+        return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
         for b in batches:
             rows = np.column_stack([b.column(i).to_numpy() for i in range(3)])
             if not len(rows):
                 continue
-            last = len(rows) - np.argmax(np.any(rows[::-1, :2] != rows[-1, :2], axis=1))
-            if np.all(rows[:, :2] == rows[-1, :2]):
-                if kept and np.any(kept[0][0, :2] != rows[0, :2]):
-                    yield linked(np.concatenate(kept))
-                    kept = []
+            if sum(map(len, kept)) >= chunk:
+                same = np.all(rows[:, :2] == kept[-1][-1, :2], axis=1)
+                more = len(rows) if same.all() else int(np.argmin(same))  # rows of the last cell
+                kept.append(rows[:more])
+                if more < len(rows):
+                    yield linked(kept)
+                    kept = [rows[more:]]
+            else:
                 kept.append(rows)
-                continue
-            yield linked(np.concatenate([*kept, rows[:last]]))
-            kept = [rows[last:]]
         if kept:
-            yield linked(np.concatenate(kept))
+            yield linked(kept)
 
     return run
 
 
-def near_links(distinct: DataFrame, limit: int = 3, crowded: int = CROWDED) -> DataFrame:
+def near_links(distinct: DataFrame, limit: int = 3, crowded: int = CROWDED, chunk: int = CHUNK) -> DataFrame:
     """(a, b): links that join all fingerprints of (fp) within ``limit`` <= 3 bits, directly or by others."""
     if not 0 <= limit <= 3:
-        raise ValueError("five blocks find at most three differing bits")
-    routed = _spread(_routed(distinct), crowded).withColumn("gray", gray_rank(F.col("fp")))
-    dealt = routed.repartition("key", "part").sortWithinPartitions("key", "part", "gray")
-    return dealt.select("key", "part", "fp").mapInArrow(_links(limit), "a long, b long")
+        raise ValueError("four blocks find at most three differing bits")
+    ordered = _parted(_orders(distinct), crowded).withColumn("gray", gray_rank(F.col("turned")))
+    dealt = ordered.repartition("lead", "part").sortWithinPartitions("lead", "part", "gray")
+    return dealt.select("lead", "part", "turned").mapInArrow(_links(limit, chunk), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 3) -> DataFrame:
@@ -266,11 +263,15 @@ def keep_one(docs: DataFrame, shingle: int = 3, limit: int = 3) -> DataFrame:
     """The rows of ``docs`` without all but one document of each near-duplicate component.
 
     The document with the smallest doc_id stays (nulls last; of rows with that doc_id the one with
-    the smallest text hash), in one row even if the row repeats. Columns are those of ``docs``.
+    the smallest text hash), in one row even if the row repeats. Columns are those of ``docs``, whatever
+    their names.
     """
     found = near_duplicates(docs, shingle, limit)
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
     stay = found.groupBy("component_fp").agg(F.min(rank).alias("r")).select("r.i", "r.h")
-    own = docs.withColumn("_hash", F.xxhash64("text"))
-    kept = own.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("i")) & (F.col("_hash") == F.col("h")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    own = own.withColumns({"own_id": doc_id.cast("long"), "own_hash": F.xxhash64(text)})
+    kept = own.join(stay, F.col("own_id").eqNullSafe(F.col("i")) & (F.col("own_hash") == F.col("h")), "left_semi")
+    return kept.dropDuplicates(["own_id", "own_hash"]).select(*names).toDF(*docs.columns)

@@ -133,7 +133,7 @@ def test_simhash_links_what_all_pairs_do(spark):
     assert simhash.near_duplicates(docs.where("false")).count() == 0
 
 
-def test_gray_index_and_crowded_keys_lose_no_link(spark):
+def test_gray_index_and_crowded_cells_lose_no_link(spark):
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
     fps = {int(c) ^ sum(1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 6))) for c in centres for _ in range(60)}
@@ -142,17 +142,45 @@ def test_gray_index_and_crowded_keys_lose_no_link(spark):
     for s in (1, 2, 4, 8, 16, 32):
         rank ^= rank >> np.uint64(s)
     ordered = fps[np.argsort(rank)]
-    q, at = simhash.GrayIndex(ordered).search(ordered[:200], 3)
-    near = np.argwhere(np.bitwise_count(ordered[:200, None] ^ ordered[None, :]) <= 3)
-    assert set(zip(q.tolist(), at.tolist(), strict=True)) == set(map(tuple, near.tolist()))
+    cells = np.sort(rng.integers(0, 5, len(ordered)))
+    near = np.argwhere(np.triu(np.bitwise_count(ordered[:, None] ^ ordered[None, :]) <= 3, 1))
+    for own, frontier in ((None, 65_536), (None, 100), (cells, 1000)):
+        pieces = list(simhash.GrayIndex(ordered, own).search(np.arange(len(ordered)), 3, frontier))
+        got = {(int(i), int(j)) for q, at in pieces for i, j in zip(q, at, strict=True)}
+        assert got == {(i, j) for i, j in near.tolist() if own is None or own[i] == own[j]}
 
     table = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    for crowded in (4, 4096):
-        links = [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in simhash.near_links(table, 3, crowded).collect()]
-        assert all((a ^ b).bit_count() <= 64 for a, b in links)
-        assert classes(fps.tolist(), links) == classes(
-            fps.tolist(), [(a, b) for a, b in itertools.combinations(fps.tolist(), 2) if (a ^ b).bit_count() <= 3]
-        )
+    want = classes(fps.tolist(), [(a, b) for a, b in itertools.combinations(fps.tolist(), 2) if (a ^ b).bit_count() <= 3])
+    for crowded, chunk in ((4, 1), (4, 32_768), (16_384, 50)):
+        links = [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in simhash.near_links(table, 3, crowded, chunk).collect()]
+        assert classes(fps.tolist(), links) == want
+
+
+def test_every_cell_is_searched_by_the_index_and_finds_all_pairs(monkeypatch):
+    """The fingerprints of a whole table, one order after the other, in the process of the test."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
+    fps = {simhash.simhash64((t or "").encode()) for t in texts}
+    rnd = random.Random(2)
+    fps |= {x ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(1, 3))) for x in sorted(fps)[::4] for _ in range(3)}
+    fps = np.array(sorted(fps), dtype=np.uint64)
+    searched, search = [], simhash.GrayIndex.search
+    monkeypatch.setattr(simhash.GrayIndex, "search", lambda self, at, *a: searched.append(len(at)) or search(self, at, *a))
+    links = []
+    for k in range(4):
+        turned = (fps << np.uint64(16 * k)) | (fps >> np.uint64((64 - 16 * k) % 64)) if k else fps
+        rank = turned.copy()
+        for s in (1, 2, 4, 8, 16, 32):
+            rank ^= rank >> np.uint64(s)
+        order = np.argsort(rank)
+        lead = turned[order] >> np.uint64(48)
+        cells = np.cumsum(np.append(0, lead[1:] != lead[:-1]))
+        a, b = simhash.cell_links(cells, turned[order], 3)
+        links += [(int(fps[order[i]]), int(fps[order[j]])) for i, j in zip(a, b, strict=True)]
+    assert len(searched) == 4 and min(searched) > 0
+    near = [(int(fps[i]), int(fps[j])) for i, j in np.argwhere(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3, 1))]
+    assert len(near) > 0 and classes(fps.tolist(), links) == classes(fps.tolist(), near)
 
 
 def classes(nodes, links):
