@@ -8,12 +8,23 @@ from pyspark.sql import functions as F
 from corpusmill.plans.durable import Scratch
 
 
+def with_value(rows: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined with one row of ``values`` for each of ``keys``, an aggregate of the same rows.
+
+    Joined on the keys alone, the aggregate would stand right below the join, where Spark can't split a
+    partition in which one key has most rows. The hash beside the keys makes both sides shuffles of the join's own.
+    """
+    marked = (df.withColumn("mark_", F.xxhash64(*keys)) for df in (rows, values))
+    left, right = marked
+    return left.join(right, [*keys, "mark_"]).drop("mark_")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is linked to the least node of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return (
-        both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        with_value(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         .where("u <> v").distinct()
     )
 
@@ -21,7 +32,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node links its lower neighbours, and itself, to the least of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    moved = with_value(edges, least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -35,8 +46,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "compon
 
     Only nodes that have an edge to another node appear. Each round is a written table, so the plan
     stays short and a lost executor costs one round at most. Rounds grow with the logarithm of the
-    component size; the per-node minima are combined before the shuffle, and the join that brings
-    them back can be split where one node has most edges. Null ends and self links are ignored.
+    component size; the per-node minima are combined before the shuffle, and the join that brings them
+    back has shuffles of its own (``with_value``), which Spark splits where one node has most edges. Null ends and self links are ignored.
     """
     links = (
         edges.where("a is not null and b is not null and a <> b")

@@ -12,10 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (a local test), a temporary folder of this machine is set.
+    A session on a local master that has none (a test) gets a temporary folder of this machine; on a cluster
+    that would be another folder on each machine, so there the setting is required.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="corpusmill-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
