@@ -9,12 +9,14 @@ and numbered. Ranks of 2^p lines thus sort suffixes by their first 2^p lines.
 Suffixes whose first n lines are equal are one interval of that order with a longest common prefix
 of at least n lines; (rank of the first 2^p lines, rank of the last 2^p lines, n) names it. For each
 line the shortest window of lines from it, and the shortest window up to it, that hold ``min_words``
-words are looked up. An interval's least position is the first copy; every other position begins a
-later copy. These windows cover exactly the lines of all later copies of repeated runs with
-``min_words`` words or more: a longer run is the union of the windows inside it.
-
-Only DataFrame functions are used. Per-key work is combined before a shuffle and joins bring one row
-per key back, which Spark can split where a key is hot; windows run within one document.
+words are looked up: the prefix that a suffix must share to be worth an interval. An interval's least
+position is the first copy; every other position begins a later copy. Neighbouring windows of a document
+whose first copies are neighbours too lie on one diagonal; together they are a maximal repeated run: the
+two places agree from its first line to its last, and one of the next lines differs, or both copies end.
+
+Only DataFrame functions are used. Per-key work is combined before a shuffle. The join that names a window's
+interval has a shuffle of its own on both sides, so Spark can split it where one interval has most rows;
+windows run within one document.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import let
+from corpusmill.operators.components import with_value
 from corpusmill.plans.durable import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,6 +66,7 @@ def suffix_ranks(docs: DataFrame, scratch: Scratch, max_lines: int) -> tuple[Dat
     all_lines = worded_lines(docs)
     ids = _ranked(all_lines, ["h1", "h2"], "rank", scratch, "rank_0")
     tied = scratch.save(all_lines.join(ids, ["h1", "h2"]).select(*DOC, "pos", "words", "rank"), "tied_0")
+    scratch.drop("rank_0")
     lines, levels, level = tied, [tied.select(*DOC, "pos", F.lit(0).alias("level"), "rank")], 0
     while 2 << level <= max_lines:
         step = 1 << level
@@ -72,6 +76,7 @@ def suffix_ranks(docs: DataFrame, scratch: Scratch, max_lines: int) -> tuple[Dat
         named = _ranked(pairs, ["rank", "after"], "both", scratch, f"rank_{level}")
         joined = pairs.join(named, ["rank", "after"]).select(*DOC, "pos", F.col("both").alias("rank"))
         tied = scratch.save(joined, f"tied_{level}")
+        scratch.drop(f"rank_{level}")
         if tied.isEmpty():
             break
         levels.append(tied.select(*DOC, "pos", F.lit(level).alias("level"), "rank"))
@@ -102,9 +107,12 @@ def _windows(lines: DataFrame, min_words: int) -> DataFrame:
     return forward.unionByName(backward).where("asks = 1 and start is not null and end is not null").drop("asks")
 
 
-def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """(doc_id, text_hash, start, end): windows of worded lines that repeat an earlier place."""
-    scratch = Scratch(docs.sparkSession, "lines")
+def later_copies(docs: DataFrame, min_words: int = 50, scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, text_hash, start, end, first): windows of worded lines that repeat an earlier place.
+
+    first: (null, id, hash, start) of the interval's first place, a struct that sorts like places do.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "lines")
     lines, ranks = suffix_ranks(docs, scratch, min_words)  # each line has a word: no window is longer
     windows = _windows(lines, min_words).withColumn("n", F.col("end") - F.col("start") + 1)
     level = F.floor(F.log2(F.col("n").cast("double") + 0.5)).cast("int")
@@ -123,8 +131,24 @@ def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
     named = scratch.save(named, "intervals")
     place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_hash").alias("c"), F.col("start").alias("d"))
     interval = ["level", "n", "r1", "r2"]
-    least = named.groupBy(*interval).agg(F.min(place).alias("least"))
-    return named.join(least, interval).where(place != F.col("least")).select(*DOC, "start", "end")
+    least = named.groupBy(*interval).agg(F.min(place).alias("first"))
+    return with_value(named, least, interval).where(place != F.col("first")).select(*DOC, "start", "end", "first")
+
+
+def maximal_runs(windows: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, start, end, first): the later copies of :func:`later_copies` as maximal runs.
+
+    Windows of one document that meet or overlap and whose first copies lie as far apart as they do are one run.
+    """
+    first = ["first.a", "first.b", "first.c"]
+    shift = F.col("start") - F.col("first.d")
+    diagonal = Window.partitionBy(*DOC, *first, "shift").orderBy("start", "end")
+    reach = F.max("end").over(diagonal.rowsBetween(Window.unboundedPreceding, -1))
+    marked = windows.withColumn("shift", shift).withColumn("opens", F.coalesce(F.col("start") > reach + 1, F.lit(True)).cast("int"))
+    numbered = marked.withColumn("run", F.sum("opens").over(diagonal.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return numbered.groupBy(*DOC, *(F.col(c).alias(f"f_{c[-1]}") for c in first), "shift", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("first")
+    ).select(*DOC, "start", "end", "first")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
@@ -137,25 +161,26 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
     Added: lines_ (lines of the text), removed_ (numbers from 0 of the deleted lines, ascending).
     A null text stays null with 0 lines; an empty text has one line and loses none; a text all of
-    whose lines go becomes empty. Other columns pass through; docs must not have lines_ or removed_.
+    whose lines go becomes empty. Other columns pass through, whatever their names; docs must not have
+    lines_ or removed_.
     """
     gone = (
-        later_copies(docs, min_words).select(*DOC, F.explode(F.sequence("start", "end")).alias("at"))
+        maximal_runs(later_copies(docs, min_words)).select(*DOC, F.explode(F.sequence("start", "end")).alias("at"))
         .groupBy(*DOC).agg(F.collect_set("at").alias("gone"))
         .select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"), "gone")
     )
-    own = docs.join(
-        gone, F.col("doc_id").cast("long").eqNullSafe(F.col("g_id")) & (F.xxhash64("text") == F.col("g_hash")), "left"
-    )
-    split = F.split("text", "\n", -1)
-    worded = F.filter(
-        F.transform(_trimmed_lines(F.col("text")), lambda x, i: F.when(x != "", i)), lambda i: i.isNotNull()
-    )
+    names = [f"c{k}" for k in range(len(docs.columns))]  # no name can clash inside
+    at = docs.columns.index("text")
+    doc_id, text = F.col(names[docs.columns.index("doc_id")]).cast("long"), F.col(names[at])
+    own = docs.toDF(*names).join(gone, doc_id.eqNullSafe(F.col("g_id")) & (F.xxhash64(text) == F.col("g_hash")), "left")
+    split = F.split(text, "\n", -1)
+    worded = F.filter(F.transform(_trimmed_lines(text), lambda x, i: F.when(x != "", i)), lambda i: i.isNotNull())
     lost = let(worded, lambda w: F.sort_array(F.transform("gone", lambda s: F.element_at(w, s.cast("int") + 1))))
-    out = own.withColumn("lines_", F.coalesce(F.size(split), F.lit(0))).withColumn(
-        "lines_", F.when(F.col("text").isNull(), 0).otherwise(F.col("lines_"))
-    ).withColumn("removed_", F.coalesce(F.when(F.col("gone").isNotNull(), lost), F.array().cast("array<int>")))
+    out = own.withColumns({
+        "lines_": F.when(text.isNull(), 0).otherwise(F.size(split)),
+        "removed_": F.coalesce(F.when(F.col("gone").isNotNull(), lost), F.array().cast("array<int>")),
+    })
     stay = F.array_except(F.sequence(F.lit(0), F.col("lines_") - 1), F.col("removed_"))
     shorter = let(split, lambda all_: F.array_join(F.transform(stay, lambda i: F.element_at(all_, i + 1)), "\n"))
-    out = out.withColumn("text", F.when(F.size("removed_") > 0, shorter).otherwise(F.col("text")))
-    return out.select(*docs.columns, "lines_", "removed_")
+    out = out.withColumn(names[at], F.when(F.size("removed_") > 0, shorter).otherwise(text))
+    return out.select(*names, "lines_", "removed_").toDF(*docs.columns, "lines_", "removed_")

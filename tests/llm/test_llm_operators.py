@@ -16,7 +16,7 @@ import xxhash
 
 pytest.importorskip("corpusmill.llm.queries")
 
-from corpusmill.llm import chat, line_dedup, mixing, packing, quality_model, quality_rules, secrets, sharding, simhash, topk  # noqa: E402
+from corpusmill.llm import chat, line_dedup, mixing, near_copies, packing, quality_model, quality_rules, secrets, sharding, simhash, topk  # noqa: E402
 from corpusmill.llm.queries import vocabulary  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -92,6 +92,32 @@ def test_line_dedup_deletes_what_brute_force_does(spark):
     assert line_dedup.dedup_lines(docs.where("doc_id < -1")).count() == 0
 
 
+def test_repeated_runs_are_maximal(spark):
+    line = lambda k: " ".join(f"w{k}x{j}" for j in range(20))
+    run = [line(k) for k in range(8)]
+    rows = [(1, "\n".join(["a b", *run, "c"]), "s"), (2, "\n".join([*run, "d"]), "s"), (3, "\n".join(["e", *run[2:7], "f", *run[:4]]), "s")]
+    runs = line_dedup.maximal_runs(line_dedup.later_copies(frame(spark, rows)))
+    got = {(r["doc_id"], r["start"], r["end"], r["first"]["b"], r["first"]["d"]) for r in runs.collect()}
+    assert got == {(2, 0, 7, 1, 1), (3, 1, 5, 1, 3), (3, 7, 10, 1, 1)}
+
+
+INSIDE = ["i", "h", "_hash", "own_id", "own_hash", "gone", "g_id", "g_hash", "c0", "c1", "draws", "draws_", "key_", "draw_", "key", "run_", "label", "node", "RAW"]
+
+
+def test_columns_with_names_used_inside_pass_through(spark):
+    rows = corpus(4, 40)
+    plain = frame(spark, rows).select("doc_id", "text", "lang", "source")
+    extra = plain
+    for k, c in enumerate(INSIDE):
+        extra = extra.withColumn(c, simhash.F.concat(simhash.F.lit(f"{k}:"), simhash.F.coalesce(simhash.F.col("doc_id").cast("string"), simhash.F.lit(""))))
+    for apply in (simhash.keep_one, near_copies.keep_one, line_dedup.dedup_lines, lambda d: mixing.mix(d, shards=3, block_docs=8)):
+        out = apply(extra)
+        assert out.columns[: len(extra.columns)] == extra.columns
+        got = out.collect()
+        assert all(r[c] == f"{k}:{'' if r['doc_id'] is None else r['doc_id']}" for r in got for k, c in enumerate(INSIDE))
+        assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r["doc_id"], r["text"]) for r in apply(plain).collect())
+
+
 # ---- 2
 
 
