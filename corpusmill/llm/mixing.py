@@ -6,7 +6,8 @@ of whole passes over its documents plus a rest. Documents are dealt into blocks
 the block that passes the target in part. The blocks so drawn are the source's quota. A splitting
 tree over the output shards halves all quotas at once with multivariate-hypergeometric draws, down to
 exact quotas of every shard; each shard takes its stretch of each source's drawn blocks, disjoint
-from those of the others, and orders its documents by a seeded hash.
+from those of the others, and orders its documents by a seeded hash. What is returned is this plan: which
+shards take a document, and at which place of their order.
 """
 
 from __future__ import annotations
@@ -102,8 +103,8 @@ def _key(c: str = "") -> Column:
 def mix_plan(docs: DataFrame, shards: int = 8, seed: int = 5, block_docs: int = BLOCK_DOCS, **targets) -> DataFrame:
     """One row for each row of ``docs``: doc_id, key, size, source_size, target, draws.
 
-    size: words of the text (null: 0); draws: array of (epoch, shard) of each time that the mix takes
-    the document, two at most. A source's words taken stay below its target by less than the smallest
+    size: words of the text (null: 0); draws: array of (epoch, shard, place) of each time that the mix takes
+    the document, two at most; a shard is shuffled by sorting it by place, a seeded hash. A source's words taken stay below its target by less than the smallest
     document left of its last block, and never pass it. Rows that repeat doc_id, source and text are
     taken alike. Sources without a word have target 0. An empty table gives an empty result.
     """
@@ -161,7 +162,8 @@ def mix_plan(docs: DataFrame, shards: int = 8, seed: int = 5, block_docs: int =
     fits = groups.groupBy("place").applyInPandas(_fill, "place int, key long").withColumn("fits", F.lit(True))
     placed = dealt.join(with_draws, ["place", "block"]).join(fits, ["place", "key"], "left")
     draws = F.when(F.col("partly") & F.col("fits").isNull(), F.slice("draws", 1, F.greatest(F.size("draws") - 1, F.lit(0))))
-    return placed.select("doc_id", "key", "size", "source_size", "target", draws.otherwise(F.col("draws")).alias("draws"))
+    with_place = F.transform(draws.otherwise(F.col("draws")), lambda d: d.withField("place", F.xxhash64(F.lit(seed), F.lit("order"), "key", d["epoch"])))
+    return placed.select("doc_id", "key", "size", "source_size", "target", with_place.alias("draws"))
 
 
 def _coprime(stride: Column, n: Column) -> Column:
@@ -178,11 +180,18 @@ def _coprime(stride: Column, n: Column) -> Column:
 def mix(docs: DataFrame, shards: int = 8, seed: int = 5, **options) -> DataFrame:
     """Every row that the mix takes, once for each time: the columns of ``docs``, epoch_, shard_, order_.
 
-    order_ is the seeded place among the rows of a shard: sort a shard by it to shuffle it.
+    order_ is the seeded place among the rows of a shard: sort a shard by it to shuffle it. Columns of
+    ``docs`` pass through, whatever their names, but for epoch_, shard_ and order_, which it must not have.
     """
     plan = mix_plan(docs, shards, seed, **options).where(F.size("draws") > 0)
-    taken = plan.groupBy("key").agg(F.first("draws").alias("draws_")).withColumnRenamed("key", "key_")
-    typed = docs.withColumn("key_", _key())
-    out = typed.join(taken, "key_").withColumn("draw_", F.explode("draws_"))
-    order = F.xxhash64(F.lit(seed), F.lit("order"), "key_", F.col("draw_.epoch"))
-    return out.select(*docs.columns, F.col("draw_.epoch").alias("epoch_"), F.col("draw_.shard").alias("shard_"), order.alias("order_"))
+    taken = plan.groupBy("key").agg(F.first("draws").alias("draws")).select("key", "draws")
+    names = [f"c{k}" for k in range(len(docs.columns))]  # no name can clash inside
+    own = docs.select("*", _key().alias("key_")).toDF(*names, "key")
+    out = own.join(taken, "key").withColumn("draw", F.explode("draws"))
+    added = [F.col("draw.epoch").alias("epoch_"), F.col("draw.shard").alias("shard_"), F.col("draw.place").alias("order_")]
+    return out.select(*names, *added).toDF(*docs.columns, "epoch_", "shard_", "order_")
+
+
+def in_order(mixed: DataFrame) -> DataFrame:
+    """The rows of :func:`mix` so that files written from them hold whole stretches of one shard's order."""
+    return mixed.repartitionByRange("shard_", "order_").sortWithinPartitions("shard_", "order_")

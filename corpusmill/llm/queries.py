@@ -47,8 +47,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """draws: shard:place of each time that the mix takes the document, by epoch, comma-joined."""
     out = mixing.mix_plan(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+    draws = F.array_join(F.transform("draws", lambda d: F.concat_ws(":", d["shard"], d["place"])), ",")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), draws.alias("draws"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
