@@ -67,7 +67,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.scaled(_table(spark, sf_dir, "embeddings"))
-    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), topk.TOP)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,9 +139,7 @@ dups as (
 normal as (
   select doc_id, host, translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as line, sum(len(w)) as n
   from worded where len(w) > 0 group by 1, 2, 3),
-hosts as (select host, count(distinct doc_id) as docs from docs group by 1),
-boiler as (
-  select host, line from (select host, line, count(*) as n from normal group by 1, 2) join hosts using (host) where n >= 20 and n >= 0.02 * docs),
+boiler as (select host, line from normal group by 1, 2 having count(*) >= 5),
 cut as (select doc_id, sum(n) as n from normal semi join boiler using (host, line) group by 1),
 out as (
   select d.doc_id, coalesce(c.n, 0) as n_words, coalesce(c.chars, 0)::bigint as word_chars,
@@ -149,7 +147,7 @@ out as (
     coalesce(u.n, 0) as n_dup_lines, coalesce(v.n, 0) as n_repeat_words, (coalesce(c.n, 0) - coalesce(x.n, 0))::bigint as left_words
   from docs d left join counts c using (doc_id) left join dups u using (doc_id) left join covered v using (doc_id) left join cut x using (doc_id))
 select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and left_words >= 0.3 * n_words as kept
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and left_words >= 50 and left_words >= 0.3 * n_words as kept
 from out
 """
 

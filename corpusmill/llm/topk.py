@@ -1,22 +1,28 @@
 """Exact top-k by inner product, retrieved from buckets of vectors of near equal length.
 
-Vectors are range-partitioned by falling length into buckets. A first round takes each query's best
-scores from the longest bucket; its k-th best is a threshold. In a bucket whose longest vector has
-length b, only vectors with a cosine of threshold / (query length * b) or more can still enter. Buckets
-that need a cosine above one are never sent the query. Inside a bucket, a high cosine threshold
-prunes by coordinates (the query's largest coordinates bound those of a candidate), a low one by
-length alone (candidates stand in order of length); what is left is verified by exact products.
+Of equal vectors only those with the k + 1 smallest ids can be in an answer (a query leaves out its own id),
+so the others go first. The rest is range-partitioned by falling length into buckets. A first round takes each
+query's best from the longest bucket; its k-th best, score and id, is a threshold. In a bucket whose longest
+vector has length b, only vectors with a cosine of threshold / (query length * b) or more can still enter. Buckets
+that need a cosine above one are never sent the query, and a bucket goes only to blocks of queries that
+reach it; blocks hold queries of near equal length. Inside a bucket, a high cosine threshold prunes by coordinates
+(the query's largest coordinates bound those of a candidate), a low one by length alone (candidates stand
+in order of length); what is left is verified by exact products.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.plans.durable import Scratch
 
+TOP = 20
 #: Rows of a bucket of candidates and of a block of queries.
 BUCKET_ROWS, QUERY_ROWS = 8192, 2048
 #: Local cosine threshold from which coordinates prune, and how many coordinates of a query do.
@@ -26,15 +32,12 @@ COORDINATE_FROM, FOCUS = 0.6, 4
 def scaled(embeddings: DataFrame, scale: int = 64) -> DataFrame:
     """(vec_id, v): floor(scale * x) of every component as a double; rows that take no part are left out.
 
-    Null ids, null vectors and vectors with a null or non-finite component are left out; of several
-    rows of one id the least vector stands.
+    Null ids, null vectors and vectors with a null or non-finite component are left out; rows that repeat an
+    id stay.
     """
     usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     v = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    return (
-        embeddings.where("vec_id is not null and embedding is not null").where(usable)
-        .select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
-    )
+    return embeddings.where("vec_id is not null and embedding is not null").where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -94,7 +97,7 @@ def _best(k: int):
         q = _matrix(queries["v"])
         if q.shape[1] < c.shape[1]:
             q = np.pad(q, ((0, 0), (0, c.shape[1] - q.shape[1])))
-        q_ids, need = queries["vec_id"].to_numpy(), queries["need"].to_numpy(dtype=np.float64)
+        q_ids, need, need_id = queries["vec_id"].to_numpy(), queries["need"].to_numpy(dtype=np.float64), queries["need_id"].to_numpy()
         q_len = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
         found = [_candidates(q[i, : c.shape[1]], q_len[i], need[i], unit, lengths) for i in range(len(q))]
         wide = [i for i, x in enumerate(found) if isinstance(x, slice)]
@@ -102,7 +105,9 @@ def _best(k: int):
 
         def keep(i: int, at: np.ndarray | slice, scores: np.ndarray) -> None:
             own = ids[at]
-            fit = (own != q_ids[i]) & (scores >= (need[i] if np.isfinite(need[i]) else -np.inf))
+            fit = own != q_ids[i]
+            if np.isfinite(need[i]):  # as good as the k-th best so far, and of equals those with smaller ids
+                fit &= (scores > need[i]) | ((scores == need[i]) & (own < need_id[i]))
             own, scores = own[fit], scores[fit]
             if len(own) > k:
                 last = np.partition(scores, len(scores) - k)[len(scores) - k]
@@ -130,55 +135,87 @@ def _best(k: int):
 
 
 _FOUND = "query_id long, vec_id long, score long"
+_SENT = "vec_id long, v array<bigint>, block int, need double, need_id long, bucket int"
+
+
+def _reached(bounds: np.ndarray, numbers: np.ndarray):
+    """Each row once for every bucket that it can still get something from; bounds rise, the shortest bucket first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            length, need = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "need"))
+            least = np.where(need > 0, need / np.maximum(length, 1e-300) * (1 - 1e-9), -np.inf)
+            start = np.searchsorted(bounds, least)
+            counts = len(bounds) - start
+            row = np.repeat(np.arange(len(start)), counts)
+            at = np.repeat(start, counts) + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            for lo in range(0, len(row), 4096):
+                part = pa.array(row[lo : lo + 4096])
+                columns = [b.column(b.schema.get_field_index(c)).take(part) for c in ("vec_id", "v", "block", "need", "need_id")]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(numbers[at[lo : lo + 4096]], pa.int32())], names=["vec_id", "v", "block", "need", "need_id", "bucket"]
+                )
+
+    return run
+
+
+def entrants(vectors: DataFrame, k: int) -> DataFrame:
+    """The rows of (vec_id, v) that can be in some query's answer: of equal vectors those with the k + 1 smallest ids.
+
+    Equal rows are kept ``k`` times at most.
+    """
+    counted = vectors.groupBy("vec_id", "v").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("v"))
+    nth = F.row_number().over(Window.partitionBy("h", "v").orderBy("vec_id"))
+    few = counted.withColumn("nth", nth).where(F.col("nth") <= k + 1)
+    return few.select("vec_id", "v", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))).alias("copy")).drop("copy")
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, bucket_rows: int = BUCKET_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, bucket_rows: int = BUCKET_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` largest inner products, ties to smaller ids.
 
-    ``vectors`` and ``queries`` are (vec_id, v array<bigint>) with unique ids; a query's own id is not a
-    candidate; with fewer than ``k`` candidates all are returned. Missing components of shorter vectors
-    count as zero. Either table may be empty: the result then is. Vectors that many rows share are
-    dealt over buckets by their ids.
+    ``vectors`` and ``queries`` are (vec_id, v array<bigint>). Candidates are all rows of another id than the
+    query's; rows that repeat an id are candidates of their own, and query rows that repeat an id are
+    answered together. With fewer than ``k`` candidates all are returned. Missing components of shorter vectors
+    count as zero. Either table may be empty: the result then is. The driver holds one number a bucket.
     """
     scratch = Scratch(vectors.sparkSession, "topk")
     squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    n, n_queries = vectors.count(), queries.count()
-    buckets = max(1, -(-n // max(bucket_rows, n // 4096)))  # so that their lengths are at most some thousands
-    blocks = max(1, -(-n_queries // query_rows))
-    by_length = vectors.withColumn("length", F.sqrt(squares)).repartitionByRange(buckets, F.desc("length"), F.xxhash64("vec_id"))
+    pool = scratch.save(entrants(vectors, k).withColumn("length", F.sqrt(squares)), "pool")
+    buckets, blocks = max(1, -(-pool.count() // bucket_rows)), max(1, -(-queries.count() // query_rows))
+    by_length = pool.repartitionByRange(buckets, F.desc("length"), "vec_id")
     bucketed = scratch.save(by_length.withColumn("bucket", F.spark_partition_id()), "vectors")
+    scratch.drop("pool")
+    asked = queries.withColumn("length", F.sqrt(squares)).repartitionByRange(blocks, F.desc("length"), "vec_id")
+    asked = scratch.save(asked.withColumn("block", F.spark_partition_id()), "queries")
     longest = {r["bucket"]: r["b"] for r in bucketed.groupBy("bucket").agg(F.max("length").alias("b")).collect()}
-    order = sorted(longest)  # at most some thousands of buckets
-    asked = scratch.save(
-        queries.withColumn("length", F.sqrt(squares)).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")), "queries"
-    )
-    if not order:
+    last_block = asked.agg(F.max("block")).first()[0]
+    if not longest or last_block is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    order = sorted(longest)
 
     def searched(sent: DataFrame, among: DataFrame) -> DataFrame:
         """Both sides come with cell columns (block, bucket)."""
         return sent.groupBy("block", "bucket").cogroup(among.groupBy("block", "bucket")).applyInPandas(_best(k), _FOUND)
 
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    cells = bucketed.select("vec_id", "v", "bucket", every_block)
-    nothing = F.lit(float("-inf"))
+    nothing = [F.lit(float("-inf")).alias("need"), F.lit(0).cast("long").alias("need_id")]
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(last_block))).alias("block")
     first = scratch.save(
-        searched(asked.select("vec_id", "v", "block", F.lit(order[0]).alias("bucket"), nothing.alias("need")), cells.where(F.col("bucket") == order[0])), "first"
-    )
+        searched(
+            asked.select("vec_id", "v", "block", F.lit(order[0]).alias("bucket"), *nothing),
+            bucketed.where(F.col("bucket") == order[0]).select("vec_id", "v", "bucket", every_block),
+        ), "first"
+    )
+    found = first
     if len(order) > 1:
-        worst = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
-        bound = F.array(*[F.lit(float(longest[b])) for b in order[1:]])
-        numbers = F.array(*[F.lit(b) for b in order[1:]])
-        reach = F.size(F.filter(bound, lambda b: (F.col("need") <= b * F.col("length") * (1 + 1e-9)) | (F.col("need") <= 0)))
-        sent = (
-            asked.join(worst, F.col("vec_id") == F.col("query_id"), "left")
-            .withColumn("need", F.when(F.col("n") >= k, F.col("least").cast("double")).otherwise(nothing))
-            .withColumn("reach", reach).where("reach > 0")  # lengths fall: the buckets that can matter come first
-            .select("vec_id", "v", "block", "need", F.explode(F.slice(numbers, F.lit(1), F.col("reach"))).alias("bucket"))
-        )
-        found = first.unionByName(searched(sent, cells.where(F.col("bucket") != order[0])))
-    else:
-        found = first
+        worst = first.groupBy("query_id").agg(F.min(F.struct("score", (-F.col("vec_id")).alias("late"))).alias("w"), F.count("*").alias("n"))
+        full = F.col("n") >= k
+        needs = [F.when(full, F.col("w.score").cast("double")).otherwise(float("-inf")).alias("need"), F.when(full, -F.col("w.late")).otherwise(0).alias("need_id")]
+        rest = order[:0:-1]  # shortest first
+        known = asked.join(worst, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", "block", "length", *needs)
+        sent = scratch.save(known.mapInArrow(_reached(np.array([longest[b] for b in rest]), np.array(rest)), _SENT), "sent")
+        asks = sent.select(F.col("block").alias("asks"), "bucket").distinct()
+        cells = bucketed.join(asks, "bucket").select("vec_id", "v", "bucket", F.col("asks").alias("block"))
+        found = first.unionByName(searched(sent, cells))
     # each query has at most k rows a bucket here
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
