@@ -1,63 +1,65 @@
 """Chat formatting: collapse cumulative snapshots of one conversation, then render what is left.
 
 A log often holds a conversation again after each turn, so that one entry begins another. Every
-turn gets two 64-bit hashes of its number, role and text; combined by exclusive or over the first t
-turns they are the rolling hash of that prefix. A conversation whose hash over all its turns is a
-shorter prefix's hash of another one is dropped by an anti-join; of equal conversations one stays.
-Both sides of the join are made distinct first, with map-side combine, so a first turn or a
+turn gets two 64-bit hashes of its number, role and text; their running exclusive or over the turns of a
+conversation, one step a turn, is the rolling hash of each of its prefixes. A conversation whose hash over
+all its turns is a shorter prefix's hash of another one is dropped by an anti-join; of equal conversations
+one stays. Both sides of the join are made distinct first, with map-side combine, so a first turn or a
 conversation that much of the log shares is one key. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.plans.durable import Scratch
+
 #: Rendered form of a turn; roles and texts are put in as they are.
 TURN_HEAD, TURN_TAIL = "<|{}|>\n", "\n<|end|>\n"
 
 
-def _hashes(turns: Column, salt: str) -> Column:
-    return F.transform(
-        turns, lambda t, i: F.xxhash64(F.lit(salt), i, t["role"].isNull(), t["role"], t["text"].isNull(), t["text"])
-    )
-
-
-def _fold(hashes: Column, upto: Column) -> Column:
-    return F.aggregate(F.slice(hashes, F.lit(1), upto), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+_TURN = ["late", "turn", "role", "text"]
 
 
-def conversations_by_id(turns: DataFrame) -> DataFrame:
-    """(conv_id, turns): the turns of a conversation in order, in one row.
+def numbered_turns(turns: DataFrame) -> DataFrame:
+    """(conv_id, i, role, text): the turns of each conversation, i from 1 in order.
 
     Rows of one conversation are ordered by turn (null last), role and text (null first); rows that
     repeat a turn, role and text are one turn. Rows with a null conv_id belong to none and are left.
     """
-    row = F.struct(
-        F.col("turn").isNull().alias("late"), F.col("turn").cast("long").alias("turn"),
+    rows = turns.where(F.col("conv_id").isNotNull()).select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").isNull().alias("late"), F.col("turn").cast("long").alias("turn"),
         F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"),
     )
-    kept = turns.where(F.col("conv_id").isNotNull()).select(F.col("conv_id").cast("long").alias("conv_id"), row.alias("row"))
-    return kept.groupBy("conv_id").agg(F.sort_array(F.array_distinct(F.collect_list("row"))).alias("turns"))
+    in_turn = Window.partitionBy("conv_id").orderBy(*_TURN)
+    again = F.lit(True)
+    for c in _TURN:
+        again = again & F.col(c).eqNullSafe(F.lag(c).over(in_turn))
+    fresh = rows.withColumn("fresh", (F.row_number().over(in_turn) == 1) | ~again).where("fresh")
+    return fresh.select("conv_id", F.row_number().over(in_turn).alias("i"), "role", "text")
 
 
 def maximal_conversations(turns: DataFrame) -> DataFrame:
     """(conv_id, turns, copies): conversations that begin no longer one; of equal ones the smallest conv_id.
 
-    copies: how many conversations of the log are equal to it, itself included. Turns are compared by
-    place, role and text; their numbers only set the order.
+    turns: array of (i, role, text) in order; copies: how many conversations of the log are equal to it, itself
+    included. Turns are compared by place, role and text; their numbers only set the order.
     """
-    whole = conversations_by_id(turns)
-    n = F.size("turns")
-    marked = whole.select("conv_id", n.alias("n"), _hashes(F.col("turns"), "a").alias("a"), _hashes(F.col("turns"), "b").alias("b"))
-    keyed = lambda upto: [_fold(F.col("a"), upto).alias("key_a"), _fold(F.col("b"), upto).alias("key_b")]
-    full = marked.select("conv_id", "n", *keyed(F.col("n"))).groupBy("n", "key_a", "key_b").agg(
-        F.min("conv_id").alias("conv_id"), F.count("*").alias("copies")
+    rows = numbered_turns(turns)
+    whole, upto = Window.partitionBy("conv_id"), Window.partitionBy("conv_id").orderBy("i")
+    own = [F.xxhash64(F.lit(salt), "i", F.col("role").isNull(), "role", F.col("text").isNull(), "text") for salt in ("a", "b")]
+    hashed = rows.select("conv_id", "i", own[0].alias("a"), own[1].alias("b"))
+    rolled = hashed.select(
+        "conv_id", "i", F.max("i").over(whole).alias("n"),
+        *(F.bit_xor(c).over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(f"key_{c}") for c in ("a", "b")),
     )
-    cuts = marked.where("n > 1").select("a", "b", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("n"))
-    prefixes = cuts.select("n", *keyed(F.col("n"))).distinct()
-    stay = full.join(prefixes, ["n", "key_a", "key_b"], "left_anti").select("conv_id", "copies")
-    return whole.join(stay, "conv_id")
+    rolled = Scratch(turns.sparkSession, "chat").save(rolled, "prefixes")  # 32 bytes a turn
+    full = rolled.where("i = n").groupBy("i", "key_a", "key_b").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
+    prefixes = rolled.where("i < n").select("i", "key_a", "key_b").distinct()
+    stay = full.join(prefixes, ["i", "key_a", "key_b"], "left_anti").select("conv_id", "copies")
+    kept = rows.join(stay, "conv_id")
+    return kept.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("i", "role", "text"))).alias("turns"), F.first("copies").alias("copies"))
 
 
 def render(turns: Column) -> Column:
