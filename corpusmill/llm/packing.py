@@ -234,18 +234,19 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int = E
     """
     scratch = Scratch(docs.sparkSession, "packing")
     pieces = tokenise(docs, vocabulary, length, end_id, keep_ids)
-    pieces = scratch.save(pieces if keep_ids else pieces.drop("ids"), "pieces")
+    # a number of its own for each row, written with it: pieces that are alike in all else spread over stretches too
+    pieces = scratch.save((pieces if keep_ids else pieces.drop("ids")).withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # ``length`` rows at most
     plan = best_fit_decreasing(counts, length)
     # number the pieces of each length: by hash into stretches, then in and across stretches
     dealt = max(1, sum(counts.values()) // stretch)
-    rows = pieces.withColumn("stretch", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(dealt)).cast("int"))
+    rows = pieces.withColumn("stretch", F.pmod(F.xxhash64("row"), F.lit(dealt)).cast("int"))
     sums = with_sum_before(rows.groupBy("length", "stretch").agg(F.count("*").alias("n")), ["length"], "stretch", F.col("n"), "before")
-    inside = Window.partitionBy("length", "stretch").orderBy("doc_id", "piece", "ids_crc32")
+    inside = Window.partitionBy("length", "stretch").orderBy("row")
     numbered = (
         rows.withColumn("at", F.row_number().over(inside) - 1)
         .join(sums.select("length", "stretch", "before"), ["length", "stretch"])
-        .withColumn("number", F.col("before") + F.col("at")).select(*pieces.columns, "number")
+        .withColumn("number", F.col("before") + F.col("at")).select(*pieces.drop("row").columns, "number")
     )
-    schema = ", ".join(f"{n} {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
+    schema = ", ".join(f"{n} {t}" for n, t in pieces.drop("row").dtypes) + ", sequence_id long, offset long"
     return numbered.mapInArrow(_place_batches(plan), schema)
