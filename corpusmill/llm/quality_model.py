@@ -2,8 +2,8 @@
 
 Texts are cut into runs of letters and digits and runs of other signs; unigrams and bigrams of those
 are hashed into a fixed number of weights. Features are made on the executors. The model is fitted
-on the driver from a bounded, hash-chosen sample of labelled rows (``MAX_ROWS``, ``MAX_FEATURES``), row by
-row, and sent back as one array of fixed size; each text is then scored as a sparse dot product.
+on the driver from a bounded, hash-chosen sample of labelled rows (``MAX_ROWS``, ``MAX_VALUES``), each with all
+its features, row by row, and sent back as one array of fixed size; each text is then scored as a sparse dot product.
 """
 
 from __future__ import annotations
@@ -13,13 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.plans.durable import Scratch
+
 #: Weights; a power of two.
 DIMENSIONS = 1 << 18
-#: Bound of the sample that the model is fitted on: rows, and distinct features of one row.
-MAX_ROWS, MAX_FEATURES = 6000, 20_000
+#: Bound of the sample that the model is fitted on: rows, and feature values (8 bytes each) of all its rows together.
+MAX_ROWS, MAX_VALUES = 6000, 12_000_000
 #: Chosen by the loss on teaching rows with remainder 1, fitted on those with remainders 2 to 4.
 EPOCHS, ALPHA, BETA, L1, L2 = 12, 2.0, 1.0, 0.01, 0.001
 THRESHOLD = 0.3
@@ -96,33 +98,40 @@ def _feature_batches(dimensions: int):
         features = Featurizer(dimensions)
         for b in batches:
             got = [features(x.as_py()) for x in b.column(2)]
-            cut = [(i[:MAX_FEATURES], v[:MAX_FEATURES]) for i, v in got]
-            blobs = [pa.array([c[k].astype(t).tobytes() for c in cut], pa.binary()) for k, t in ((0, "<i4"), (1, "<f4"))]
+            blobs = [pa.array([c[k].astype(t).tobytes() for c in got], pa.binary()) for k, t in ((0, "<i4"), (1, "<f4"))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *blobs], names=["doc_id", "label", "index", "value"])
 
     return run
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, dimensions: int = DIMENSIONS) -> np.ndarray:
+def fit_quality(
+    docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, dimensions: int = DIMENSIONS, max_values: int = MAX_VALUES
+) -> np.ndarray:
     """Weights learned from the rows of ``docs`` that ``labels`` (doc_id, quality) marks 0 or 1.
 
     Held-out ids, null labels and null ids don't teach; of several labels of an id the smallest
-    counts. At most ``max_rows`` ids are used, those with the least hash.
+    counts. At most ``max_rows`` rows are used, those with the least hash, and of those the first whose
+    features are not more than ``max_values`` together; no row is cut.
     """
+    scratch = Scratch(docs.sparkSession, "quality")
     sample = (
         labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.min("quality").cast("int").alias("label"))
         .orderBy(F.xxhash64("l_id"), "l_id").limit(max_rows)
     )
-    rows = (
+    marked = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
         .join(F.broadcast(sample), F.col("doc_id") == F.col("l_id"))  # max_rows rows of 12 bytes
         .select("doc_id", "label", "raw")
         .mapInArrow(_feature_batches(dimensions), "doc_id long, label int, index binary, value binary")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "index", "value").limit(max_rows)
-        .collect()
     )
-    return fit_ftrl([(np.frombuffer(r[2], "<i4"), np.frombuffer(r[3], "<f4"), r[1]) for r in rows], dimensions)
+    marked = scratch.save(marked.withColumn("n", F.expr("octet_length(index) div 4")), "features")
+    order = [F.xxhash64("doc_id"), "doc_id", "n", F.xxhash64("index", "value")]
+    upto = F.sum("n").over(Window.orderBy("h", "doc_id", "n", "x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    first = marked.select(order[0].alias("h"), "doc_id", "n", order[3].alias("x")).orderBy("h", "doc_id", "n", "x").limit(max_rows)
+    size = first.withColumn("upto", upto).where(F.col("upto") <= max_values).count()  # a window of max_rows rows
+    rows = marked.orderBy(*order).limit(size).select("label", "index", "value").collect() if size else []
+    return fit_ftrl([(np.frombuffer(r[1], "<i4"), np.frombuffer(r[2], "<f4"), r[0]) for r in rows], dimensions)
 
 
 def _score_batches(weights: np.ndarray, position: int):
