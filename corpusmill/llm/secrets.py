@@ -2,7 +2,7 @@
 
 Patterns find the base kinds (assign, access, hex). Beside them, long runs of base64 or hex are
 decoded and reported only if what comes out parses to its end: a DER sequence whose nested lengths
-add up, an OpenSSH private key container or public key blob with its length-prefixed fields, or a
+add up, an OpenSSH private key container or public key blob whose length-prefixed fields all fit, or a
 signed token whose header and payload are JSON objects and whose header names an algorithm.
 """
 
@@ -34,7 +34,11 @@ _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 _ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{32,}(?![0-9A-Fa-f])")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]*?)-----END \1-----", re.ASCII)
+# after the first line a block may have headers (a name, a colon, a value), which an empty line ends
+_PEM = re.compile(
+    r"-----BEGIN ([A-Z0-9 ]{1,40})-----[ \t]*\r?\n?((?:[A-Za-z0-9-]+:[^\n]*\n(?:[ \t][^\n]*\n)*)*)([A-Za-z0-9+/=\s]*?)-----END \1-----", re.ASCII
+)
+_LOCKED = re.compile(r"^DEK-Info:[ \t]*[A-Z0-9-]+,[ \t]*[0-9A-Fa-f]{16,32}[ \t]*\r?$", re.MULTILINE)
 
 
 def _decoded(run: str) -> bytes | None:
@@ -80,19 +84,68 @@ def is_der_key(data: bytes) -> bool:
     return len(data) >= 24 and data[0] == 0x30 and der_end(data) == len(data) and data[2 + (data[1] & 0x7F if data[1] & 0x80 else 0)] in (0x02, 0x30)
 
 
-def _fields(data: bytes, at: int) -> bool:
-    """Length-prefixed fields that end with ``data``, two at least."""
-    n = 0
+def _fields(data: bytes, at: int = 0) -> list[bytes] | None:
+    """The length-prefixed fields from ``at`` on, if the last one ends with ``data``."""
+    out = []
     while at + 4 <= len(data):
-        at, n = at + 4 + int.from_bytes(data[at : at + 4], "big"), n + 1
-    return at == len(data) and n >= 2
+        stop = at + 4 + int.from_bytes(data[at : at + 4], "big")
+        out.append(data[at + 4 : stop])
+        at = stop
+    return out if at == len(data) else None
+
+
+_SSH_KIND = re.compile(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]{3,60}\Z")
+_SSH_MAGIC = b"openssh-key-v1\0"
+#: Names of ciphers end with one of these; of key derivations there are two.
+_CIPHERS, _DERIVATIONS = re.compile(rb"(none|[a-z0-9-]+(-cbc|-ctr|@openssh\.com))\Z"), (b"none", b"bcrypt")
+
+
+def is_ssh_blob(data: bytes) -> bool:
+    """A public key: the name of its kind, then one field or more, the last of which ends the blob."""
+    fields = _fields(data)
+    return fields is not None and len(fields) >= 2 and _SSH_KIND.match(fields[0]) is not None and all(len(f) for f in fields[1:2])
+
+
+def is_ssh_container(data: bytes) -> bool:
+    """A private key file: cipher, derivation and its options, the number of keys, their blobs, and the encrypted part.
+
+    Unencrypted parts begin with two equal check numbers and a kind, and are padded with 1, 2, 3 ...
+    """
+    at, fields = len(_SSH_MAGIC), []
+    if not data.startswith(_SSH_MAGIC):
+        return False
+
+    def field() -> bytes | None:
+        nonlocal at
+        if at + 4 > len(data):
+            return None
+        start, stop = at + 4, at + 4 + int.from_bytes(data[at : at + 4], "big")
+        if stop > len(data):
+            return None
+        at = stop
+        return data[start:stop]
+
+    fields = [field() for _ in range(3)]
+    if None in fields or not _CIPHERS.match(fields[0]) or fields[1] not in _DERIVATIONS or (fields[0] == b"none") != (fields[1] == b"none"):
+        return False
+    count, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    if not 1 <= count <= 64:
+        return False
+    for _ in range(count):
+        if (blob := field()) is None or not is_ssh_blob(blob):
+            return False
+    secret = field()
+    if secret is None or len(secret) < 16 or len(secret) % 8:
+        return False
+    if fields[0] == b"none":
+        kind = int.from_bytes(secret[8:12], "big")
+        if secret[:4] != secret[4:8] or not _SSH_KIND.match(secret[12 : 12 + kind]):
+            return False
+    return len(data) - at in (0, 16)  # some ciphers leave a check sum behind
 
 
 def is_ssh_key(data: bytes) -> bool:
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    size = int.from_bytes(data[:4], "big")
-    return 7 <= size <= 40 and re.match(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+$", data[4 : 4 + size]) is not None and _fields(data, 0)
+    return is_ssh_container(data) if data.startswith(_SSH_MAGIC) else is_ssh_blob(data)
 
 
 def is_signed_token(run: str) -> bool:
@@ -120,8 +173,10 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     found = []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            data = _decoded(re.sub(r"\s", "", m[2]))
-            if data and (is_der_key(data) or is_ssh_key(data)):
+            data = _decoded(re.sub(r"\s", "", m[3]))
+            # an encrypted body has no structure to see: its headers name the cipher, and it comes in whole blocks
+            locked = "ENCRYPTED" in m[2] and _LOCKED.search(m[2]) is not None and bool(data) and len(data) % 8 == 0
+            if data and (locked or is_der_key(data) or is_ssh_key(data)):
                 found.append((m.start(), m.end(), "pem"))
     if any(len(x) >= 32 for x in text.split()):
         if "." in text:
