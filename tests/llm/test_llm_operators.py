@@ -378,6 +378,10 @@ def test_mix_reaches_targets(spark):
     assert out.columns == [*docs.columns, "epoch_", "shard_", "order_"]
     assert out.count() == sum(len(r["draws"]) for r in got)
     assert {r["shard_"] for r in out.select("shard_").distinct().collect()} == {0, 1, 2, 3}
+    # a document larger than its source's target is left out; sources beside it keep theirs
+    wide = frame(spark, [(1, "w " * 5000, "a"), (2, "w " * 10, "b"), (3, "w " * 10, "b"), (4, None, "c"), (5, "", None)])
+    assert {r["doc_id"]: len(r["draws"]) for r in mixing.mix_plan(wide).collect()} == {1: 1, 2: 2, 3: 2, 4: 0, 5: 0}
+    assert {r["doc_id"]: len(r["draws"]) for r in mixing.mix_plan(wide, share=0.5).collect()}[1] == 0
     assert mixing.mix_plan(docs.where("false")).count() == 0 and mixing.mix(docs.where("text = ''")).count() >= 0
 
 
@@ -580,13 +584,22 @@ def test_pipeline_stages_keep_their_contract(spark):
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns = docs.columns
+    columns, whole = docs.columns, docs
     counts = [docs.count()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf).cache()
         assert docs.columns == columns, name
         counts.append(docs.count())
+        if name == "near_dedup":
+            deduped = docs
     assert counts[1] <= counts[0] and counts[2] == counts[1] and counts[3] < counts[2]
+    # the mix holds what the plan draws, in the order of shards and places
+    plan = {r["key"]: r["draws"] for r in mixing.mix_plan(deduped).collect()}
+    keyed = [(r["k"], r["doc_id"]) for r in docs.select("*", mixing._key().alias("k")).collect()]
+    assert Counter(k for k, _ in keyed) == Counter({k: len(d) for k, d in plan.items() if len(d)})
+    drawn = sorted((d["shard"], d["place"], k) for k, ds in plan.items() for d in ds)
+    assert [k for _, _, k in drawn] == [k for k, _ in keyed] and {s for s, _, _ in drawn} == set(range(8))
+    assert {r["doc_id"] for r in whole.collect()} >= {i for _, i in keyed}
     out = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert {r["doc_id"] for r in out} == {r["doc_id"] for r in docs.select("doc_id").collect()}
     empty = spark.read.parquet(f"{sf}/documents.parquet").where("false")
