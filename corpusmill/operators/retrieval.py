@@ -125,9 +125,27 @@ def query_likelihood(index: Index, query: DataFrame, mu: float = 1000.0) -> Data
     )
 
 
+def query_likelihood_top(index: Index, query: DataFrame, k: int, mu: float = 1000.0) -> DataFrame:
+    """The first ``k`` of :func:`query_likelihood` for each query, without a row for each query and document.
+
+    A text without a query term scores by its length alone, so of those only the ``k`` shortest can be among the
+    first: a longer one has ``k`` texts before it.
+    """
+    shortest = index.docs.orderBy("dl", "doc_id").limit(k)
+    known = query.join(index.terms, "term").crossJoin(index.stats.select("total"))  # one row
+    p = F.col("cf") / F.col("total")
+    base = known.groupBy("qid").agg(F.sum(F.col("qtf") * F.log(mu * p)).alias("base"), F.sum("qtf").alias("n_terms"))
+    base = query.select("qid").distinct().join(base, "qid", "left").na.fill({"base": 0.0, "n_terms": 0})
+    gain = index.postings.join(known, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("qtf") * F.log1p(F.col("tf") / (mu * p))).alias("gain"))
+    candidates = gain.unionByName(base.select("qid").crossJoin(shortest.select("doc_id")).withColumn("gain", F.lit(0.0)))  # k rows a query
+    scored = candidates.groupBy("qid", "doc_id").agg(F.max("gain").alias("gain")).join(index.docs, "doc_id").join(base, "qid")
+    score = F.col("base") - F.col("n_terms") * F.log(F.col("dl") + mu) + F.col("gain")
+    return top_k(scored.select("qid", "doc_id", score.alias("score")), k)
+
+
 def rm3_terms(index: Index, query: DataFrame, mu: float = 1000.0, fb_docs: int = 10, fb_terms: int = 20, keep: float = 0.5) -> DataFrame:
     """(qid, term, qtf): the query mixed with the strongest terms of its first documents by query likelihood."""
-    first = top_k(query_likelihood(index, query, mu), fb_docs)
+    first = query_likelihood_top(index, query, fb_docs, mu)
     best = Window.partitionBy("qid")
     weight = F.exp(F.col("score") - F.max("score").over(best))
     first = first.withColumn("w", weight).withColumn("w", F.col("w") / F.sum("w").over(best))
@@ -202,14 +220,22 @@ def boolean(index: Index, must: list[str], any_of: list[list[str]] = (), must_no
 def phrase_matches(docs: DataFrame, queries: DataFrame, terms: Column | None = None) -> DataFrame:
     """(qid, doc_id, n): places where all words of a query stand in its order.
 
-    The query's words with their offsets meet the words of the texts; a place of the phrase is where the
-    difference of positions is the same for all of them.
+    Only the places of a query's rarest word are looked up; there the words around it are compared. A query
+    without a word matches nothing.
     """
     terms = tokens(F.col("text")) if terms is None else terms
     words = docs.select("doc_id", F.posexplode(terms).alias("pos", "term"))
-    asked = queries.select("qid", F.size(terms).alias("n_terms"), F.posexplode(terms).alias("off", "term"))
-    places = words.join(asked, "term").groupBy("qid", "n_terms", "doc_id", (F.col("pos") - F.col("off")).alias("at")).agg(F.count("*").alias("n"))
-    return places.where("n = n_terms").groupBy("qid", "doc_id").agg(F.count("*").alias("n"))
+    asked = queries.select("qid", terms.alias("phrase"))
+    each = asked.select("qid", F.posexplode("phrase").alias("off", "term"))
+    known = words.join(each.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("cf"))
+    # a word that no text holds makes its query fail: it is the rarest
+    rarest = each.join(known, "term", "left").groupBy("qid").agg(F.min(F.struct(F.coalesce("cf", F.lit(0)).alias("cf"), "off", "term")).alias("r"))
+    anchors = rarest.where("r.cf > 0").select("qid", "r.off", "r.term")
+    starts = words.join(anchors, "term").select("qid", "doc_id", (F.col("pos") - F.col("off")).alias("at")).where("at >= 0")
+    there = starts.groupBy("doc_id", "qid").agg(F.collect_list("at").alias("starts")).join(asked, "qid")
+    held = docs.select("doc_id", terms.alias("words")).join(there, "doc_id")
+    n = F.size(F.filter("starts", lambda s: F.slice("words", s + 1, F.size("phrase")) == F.col("phrase")))
+    return held.select("qid", "doc_id", n.cast("long").alias("n")).where("n > 0")
 
 
 def index_sizes(index: Index) -> DataFrame:
@@ -243,4 +269,4 @@ def highlighted(lines: DataFrame, query: DataFrame) -> DataFrame:
     marked = F.transform(F.split("line", " "), lambda w: F.when(F.array_contains("asked", bare(w)), F.concat(F.lit("<em>"), w, F.lit("</em>"))).otherwise(w))
     hits = F.size(F.array_intersect(F.transform(F.split("line", " "), bare), F.col("asked")))
     level = F.when(hits == 0, "none").when(hits == F.size("asked"), "full").otherwise("partial")
-    return joined.select("qid", "doc_id", F.array_join(marked, " ").alias("marked"), level.alias("match"))
+    return joined.select("qid", "doc_id", *(c for c in ("line_no",) if c in lines.columns), F.array_join(marked, " ").alias("marked"), level.alias("match"))

@@ -50,10 +50,10 @@ def borrowed_parts(spark, sf_dir):
     return dedup.borrowed(d, groups)
 
 
-@query("""with c as (select lower(string_split(p_name, ' ')[1]) as prefix, p_name as name, count(*) as n from part where p_size = 1 group by 1, 2),
+@query("""with c as (select lower(string_split(p_name, ' ')[1]) as prefix, p_name as name, count(*) as n from part group by 1, 2),
 t as (select *, sum(n) over (partition by prefix) as t from c) select prefix, name, n from t where n >= 0.2 * t and n >= 2""")
 def alias_by_prefix(spark, sf_dir):
-    return dedup.alias_by_prefix(table(spark, sf_dir, "part").where("p_size = 1").select(F.col("p_name").alias("name")), 0.2)
+    return dedup.alias_by_prefix(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")), 0.2)
 
 
 @query()
@@ -72,13 +72,13 @@ def density_roles(spark, sf_dir):
 
 # ---- graph: parts bought together with suppliers stand in for pages and links
 
-_EDGES = "e as (select distinct 'p' || l_partkey as src, 's' || l_suppkey as dst from lineitem where l_quantity >= 49 union select distinct 's' || l_suppkey, 'p' || (l_partkey + 1) from lineitem where l_quantity = 50)"
+_EDGES = "e as (select distinct 'p' || l_partkey as src, 's' || l_suppkey as dst from lineitem union select distinct 's' || l_suppkey, 'p' || (l_partkey + 1) from lineitem)"
 
 
 def _edges(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity >= 49")
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
     p, s = F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
-    back = rows.where("l_quantity = 50").select(s.alias("src"), F.concat(F.lit("p"), (F.col("l_partkey") + 1).cast("string")).alias("dst"))
+    back = rows.select(s.alias("src"), F.concat(F.lit("p"), (F.col("l_partkey") + 1).cast("string")).alias("dst"))
     return graph.simple_edges(rows.select(p.alias("src"), s.alias("dst")).unionByName(back))
 
 

@@ -26,9 +26,8 @@ def _runs(spark, sf_dir, depth=20):
 
 
 def _targets(spark, sf_dir):
-    """(qid, doc_id): documents that hold the first eight words of a passage in a row."""
-    first = asked(spark, sf_dir).select("qid", F.array_join(F.slice(tokens(F.col("text")), 1, 8), " ").alias("text"))
-    return Scratch(spark, "targets").save(retrieval.phrase_matches(docs(spark, sf_dir), first).select("qid", "doc_id"), "targets")
+    """(qid, doc_id): documents that hold a passage whole."""
+    return Scratch(spark, "targets").save(retrieval.phrase_matches(docs(spark, sf_dir), asked(spark, sf_dir)).select("qid", "doc_id"), "targets")
 
 
 _PLAIN = f"""
@@ -43,7 +42,7 @@ _RUNS = f"""{SQL_BM25}, {_PLAIN},
 runs as (select 'bm25' as system, * from ({sql_top('bm25', 20)}) union all select 'plain', * from ({sql_top('plain', 20)})),
 targets as (
   select qid, doc_id from (select doc_id, ' ' || array_to_string({sql_tokens('text')}, ' ') || ' ' as t from documents)
-  join (select item_id as qid, ' ' || array_to_string(({sql_tokens('text')})[1:8], ' ') || ' ' as p from benchmark) on contains(t, p))
+  join (select item_id as qid, ' ' || array_to_string({sql_tokens('text')}, ' ') || ' ' as p from benchmark) on contains(t, p))
 """
 
 

@@ -100,13 +100,13 @@ def whole_word_match(spark, sf_dir):
     return a.join(b, ["p_brand", "p_size"]).where((F.col("l_id") != F.col("r_id")) & has_phrase(F.col("l_name"), F.col("word"))).select("l_id", "r_id")
 
 
-_FACETS = "select 'brand' as attribute, p_brand as value from part where p_size < 20 union all select 'type', p_type from part where p_size < 20 union all select 'word', unnest(list_distinct(string_split(p_name, ' '))) from part where p_size < 20"
+_FACETS = "select 'brand' as attribute, p_brand as value from part union all select 'type', p_type from part union all select 'word', unnest(list_distinct(string_split(p_name, ' '))) from part"
 
 
 @query(f"""with f as ({_FACETS}), c as (select attribute, value, count(*) as n from f group by 1, 2)
 select attribute, value, n from (select *, row_number() over (partition by attribute order by n desc, value) as k from c) where k <= 10""")
 def facet_counts(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").where("p_size < 20").select(
+    rows = table(spark, sf_dir, "part").select(
         F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.split("p_name", " ").alias("word")
     )
     return R.top_values(rows, ["brand", "type", "word"], 10)
@@ -231,11 +231,11 @@ def grouping_sets_report(spark, sf_dir):
     ).agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
-@query("""with s as (select l_suppkey, string_agg(l_partkey::varchar, ',' order by l_partkey) as vec from (select distinct l_suppkey, l_partkey from lineitem where l_quantity = 50) group by 1)
+@query("""with s as (select l_suppkey, string_agg(l_partkey::varchar, ',' order by l_partkey) as vec from (select distinct l_suppkey, l_partkey from lineitem) group by 1)
 select min(l_suppkey) as kept, count(*) as n from s group by vec""")
 def identical_runs(spark, sf_dir):
     """Rows whose whole ranking is the same are kept once."""
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity = 50").groupBy("l_suppkey").agg(F.sort_array(F.collect_set("l_partkey")).alias("v"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sort_array(F.collect_set("l_partkey")).alias("v"))
     return rows.groupBy(F.md5(F.array_join("v", ",")).alias("h")).agg(F.min("l_suppkey").alias("kept"), F.count("*").alias("n")).drop("h")
 
 

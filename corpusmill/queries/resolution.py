@@ -20,7 +20,7 @@ def answers_resolved(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     catalogue = p.groupBy(F.col("p_name").alias("title")).agg(F.min("p_partkey").alias("cluster"), F.lower(F.regexp_replace(F.min_by("p_brand", "p_partkey"), "#", " ")).alias("artist"))
     text = F.concat(F.lit("it must be "), F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" by "), F.col("p_brand"))).otherwise(F.lit("")))
-    return S.resolve_answers(p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id"), text.alias("text")), catalogue, 3)
+    return S.resolve_answers(p.select(F.col("p_partkey").alias("id"), text.alias("text")), catalogue, 3)
 
 
 _GRAMS = "list_transform(generate_series(1, len({c}) - {m}), lambda i: array_to_string({c}[i:i + {m}], ' '))"

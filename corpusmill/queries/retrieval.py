@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import tokens
 from corpusmill.operators import retrieval as R
 from corpusmill.queries.common import SQL_BM25, SQL_INDEX, Family, asked, docs, sql_tokens, sql_top, table
 
@@ -45,7 +44,7 @@ ql as (select b.qid, l.doc_id, base - n * ln(dl + 1000) + coalesce(gain, 0) as s
 
 @query(f"with {_QL} {sql_top('ql', 10)}")
 def ql_dirichlet_top10(spark, sf_dir):
-    return R.top_k(R.query_likelihood(*_both(spark, sf_dir)), 10)
+    return R.query_likelihood_top(*_both(spark, sf_dir), 10)
 
 
 _RM3 = _QL + """,
@@ -148,12 +147,11 @@ def boolean_and_not(spark, sf_dir):
 
 
 @query(f"""with d as (select doc_id, ' ' || array_to_string({sql_tokens('text')}, ' ') || ' ' as t from documents),
-q as (select item_id as qid, ' ' || array_to_string(({sql_tokens('text')})[1:6], ' ') || ' ' as p from benchmark)
+q as (select item_id as qid, ' ' || array_to_string({sql_tokens('text')}, ' ') || ' ' as p from benchmark)
 select qid, doc_id from d join q on contains(t, p)""")
 def phrase_match(spark, sf_dir):
-    """Documents that hold a passage's first six words in a row."""
-    first = asked(spark, sf_dir).select("qid", F.array_join(F.slice(tokens(F.col("text")), 1, 6), " ").alias("text"))
-    return R.phrase_matches(docs(spark, sf_dir), first).select("qid", "doc_id")
+    """Documents that hold all words of a passage in a row."""
+    return R.phrase_matches(docs(spark, sf_dir), asked(spark, sf_dir)).select("qid", "doc_id")
 
 
 @query(f"with {SQL_INDEX} select term, df, cf, round(ln(1 + (n_docs - df + 0.5) / (df + 0.5)), 6) as idf from terms cross join stats where df >= 5")
@@ -193,34 +191,34 @@ def second_page(spark, sf_dir):
 
 @query("""with v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings),
 n as (select vec_id, label, e, sqrt(list_inner_product(e, e)) as norm from v),
-p as (select a.vec_id as query_id, b.vec_id, round(list_inner_product(a.e, b.e) / (a.norm * b.norm), 6) as score from n a join n b on a.vec_id <> b.vec_id where a.vec_id % 25 = 0)
+p as (select a.vec_id as query_id, b.vec_id, round(list_inner_product(a.e, b.e) / (a.norm * b.norm), 6) as score from n a join n b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0)
 select query_id, vec_id, score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p) where rank <= 5""")
 def knn_cosine_top5(spark, sf_dir):
     """Five nearest vectors by cosine of each query vector."""
     from corpusmill.operators.vectors import nearest
 
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return nearest(v, v.where("vec_id % 25 = 0"), 5)
+    return nearest(v, v.where("vec_id % 20 = 0"), 5)
 
 
 @query("""with v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings),
 n as (select vec_id, label, e, sqrt(list_inner_product(e, e)) as norm from v),
-p as (select a.vec_id as query_id, b.label, max(round(list_inner_product(a.e, b.e) / (a.norm * b.norm), 6)) as score from n a join n b on a.vec_id <> b.vec_id where a.vec_id % 25 = 0 group by 1, 2)
+p as (select a.vec_id as query_id, b.label, max(round(list_inner_product(a.e, b.e) / (a.norm * b.norm), 6)) as score from n a join n b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0 group by 1, 2)
 select query_id, label, score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, label) as rank from p) where rank <= 3""")
 def maxp_by_label(spark, sf_dir):
     """Groups ranked by their best member."""
     from corpusmill.operators.vectors import best_of_group
 
     v = table(spark, sf_dir, "embeddings")
-    return best_of_group(v, "label", v.where("vec_id % 25 = 0"), 3)
+    return best_of_group(v, "label", v.where("vec_id % 20 = 0"), 3)
 
 
-@query(f"""with {SQL_INDEX}, l as (select q.item_id as qid, doc_id, string_split(d.text, chr(10))[1] as line from documents d join benchmark q on d.doc_id % 40 = q.item_id),
+@query(f"""with {SQL_INDEX}, l as (select q.item_id as qid, doc_id, unnest(string_split(d.text, chr(10))) as line, generate_subscripts(string_split(d.text, chr(10)), 1) - 1 as line_no from documents d join benchmark q on d.doc_id % 40 = q.item_id),
 t as (select qid, list(term) as asked from query group by 1),
-h as (select qid, doc_id, asked, string_split(line, ' ') as ws, list_transform(string_split(line, ' '), lambda w: regexp_replace(lower(w), '[^\\p{{L}}\\p{{N}}]', '', 'g')) as bare from l join t using (qid))
-select qid, doc_id, array_to_string(list_transform(generate_series(1, len(ws)), lambda i: case when list_contains(asked, bare[i]) then '<em>' || ws[i] || '</em>' else ws[i] end), ' ') as marked,
+h as (select qid, doc_id, line_no, asked, string_split(line, ' ') as ws, list_transform(string_split(line, ' '), lambda w: regexp_replace(lower(w), '[^\\p{{L}}\\p{{N}}]', '', 'g')) as bare from l join t using (qid))
+select qid, doc_id, line_no::int as line_no, array_to_string(list_transform(generate_series(1, len(ws)), lambda i: case when list_contains(asked, bare[i]) then '<em>' || ws[i] || '</em>' else ws[i] end), ' ') as marked,
   case when len(list_intersect(list_distinct(bare), asked)) = 0 then 'none' when len(list_intersect(list_distinct(bare), asked)) = len(asked) then 'full' else 'partial' end as match from h""")
 def highlighted_lines(spark, sf_dir):
-    """First lines with the words of a benchmark passage marked."""
-    lines = docs(spark, sf_dir).select((F.col("doc_id") % 40).alias("qid"), "doc_id", F.split("text", "\n")[0].alias("line"))
+    """Every line of every document with the words of a benchmark passage marked."""
+    lines = docs(spark, sf_dir).select((F.col("doc_id") % 40).alias("qid"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return R.highlighted(lines, R.query_terms(asked(spark, sf_dir)))
