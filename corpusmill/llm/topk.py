@@ -170,6 +170,17 @@ def entrants(vectors: DataFrame, k: int) -> DataFrame:
     return few.select("vec_id", "v", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))).alias("copy")).drop("copy")
 
 
+def _in_stretches(rows: DataFrame, count: int, name: str, scratch: Scratch, table: str) -> DataFrame:
+    """``rows`` with the number of their stretch, of ``count``, in the order of falling length.
+
+    A session may deal rows to more partitions than asked for; neighbouring ones are one stretch then.
+    """
+    dealt = rows.repartitionByRange(count, F.desc("length"), "vec_id").withColumn("part", F.spark_partition_id())
+    dealt = scratch.save(dealt, table)
+    parts = max((dealt.agg(F.max("part")).first()[0] or 0) + 1, count)
+    return dealt.withColumn(name, F.floor(F.col("part") * count / parts).cast("int")).drop("part")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, bucket_rows: int = BUCKET_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` largest inner products, ties to smaller ids.
 
@@ -182,11 +193,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, bucket_rows: int
     squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     pool = scratch.save(entrants(vectors, k).withColumn("length", F.sqrt(squares)), "pool")
     buckets, blocks = max(1, -(-pool.count() // bucket_rows)), max(1, -(-queries.count() // query_rows))
-    by_length = pool.repartitionByRange(buckets, F.desc("length"), "vec_id")
-    bucketed = scratch.save(by_length.withColumn("bucket", F.spark_partition_id()), "vectors")
+    bucketed = _in_stretches(pool, buckets, "bucket", scratch, "vectors")
     scratch.drop("pool")
-    asked = queries.withColumn("length", F.sqrt(squares)).repartitionByRange(blocks, F.desc("length"), "vec_id")
-    asked = scratch.save(asked.withColumn("block", F.spark_partition_id()), "queries")
+    asked = _in_stretches(queries.withColumn("length", F.sqrt(squares)), blocks, "block", scratch, "queries")
     longest = {r["bucket"]: r["b"] for r in bucketed.groupBy("bucket").agg(F.max("length").alias("b")).collect()}
     last_block = asked.agg(F.max("block")).first()[0]
     if not longest or last_block is None:
