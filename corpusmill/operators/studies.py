@@ -11,7 +11,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import plain_tokens
+from corpusmill.functions.text import plain_tokens, unit_hash
 from corpusmill.operators.evaluation import holm, kendall_tau, sign_flip_test
 
 
@@ -49,7 +49,7 @@ def macro_bootstrap(values: DataFrame, kinds: DataFrame, samples: int = 500, see
         at, p = at + p, p / (k + 1)
         steps = steps + (u > at).cast("int")
     drawn = own.groupBy("kind", "cluster").agg(F.sum("v").alias("s"), F.count("*").alias("c")).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("n", steps)
-    per_kind = drawn.groupBy("b", "kind").agg((F.sum(F.col("n") * F.col("s")) / F.sum(F.col("n") * F.col("c"))).alias("m"))
+    per_kind = drawn.groupBy("b", "kind").agg(F.try_divide(F.sum(F.col("n") * F.col("s")), F.sum(F.col("n") * F.col("c"))).alias("m"))
     tail = (1 - level) / 2
     interval = per_kind.groupBy("b").agg(F.avg("m").alias("m")).agg(F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail))).alias("i"))
     mean = own.groupBy("kind").agg(F.avg("v").alias("m")).agg(F.avg("m").alias("mean"))
@@ -135,7 +135,7 @@ def mixture_sensitivity(scores: DataFrame, draws: int = 200, seed: int = 1) -> D
 
 def restricted_catalogue(ranks_of: DataFrame, targets: DataFrame, groups: DataFrame, fractions: tuple[float, ...], repetitions: int = 3, seed: int = 1) -> DataFrame:
     """(system, fraction, mrr10): runs searched again among a hash-chosen part of the groups, the target's always kept."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "rep", "fraction", "cluster"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    u = unit_hash(F.concat_ws(":", "rep", F.format_string("%.2f", "fraction"), F.col("cluster").cast("string")), str(seed))
     grid = F.explode(F.array(*[F.struct(F.lit(float(f)).alias("fraction"), F.lit(r).alias("rep")) for f in fractions for r in range(repetitions if f < 1 else 1)]))
     grouped = ranks_of.join(groups, "doc_id", "left").withColumn("cluster", F.coalesce("cluster", "doc_id"))
     wanted = targets.join(groups, "doc_id", "left").select("qid", F.coalesce("cluster", "doc_id").alias("cluster"), F.lit(True).alias("wanted")).distinct()
