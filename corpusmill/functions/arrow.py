@@ -81,9 +81,9 @@ def gamma(number: int) -> str:
     return "0" * (len(bits) - 1) + bits
 
 
-#: Telex: letters that a doubled letter or w gives, and tone keys.
+# The letters and tone marks of the Telex way of typing.
 _SHAPES = {"aa": "â", "ee": "ê", "oo": "ô", "dd": "đ", "aw": "ă", "ow": "ơ", "uw": "ư"}
-_TONE_KEYS = {"f": "̀", "s": "́", "r": "̉", "x": "̃", "j": "̣"}
+_TONE_KEYS = {"f": "\u0300", "s": "\u0301", "r": "\u0309", "x": "\u0303", "j": "\u0323"}
 
 
 def to_telex(word: str) -> str:
@@ -99,20 +99,23 @@ def to_telex(word: str) -> str:
     return "".join(out) + tone
 
 
+#: A syllable as onset (u of qu and i of gi belong to it before a vowel), nucleus and coda.
+_SYLLABLE = re.compile(r"(qu(?=[aăâeêioôơy])|gi(?=[aăâeêoôơuư])|[^aăâeêioôơuưy]*)([aăâeêioôơuưy]+)(.*)", re.DOTALL)
+
+
 def place_tone(word: str, mark: str) -> str:
-    """The tone mark on the vowel that carries it: a shaped one, else the last but one of an open group, else the last.
+    """A toneless syllable with its tone mark, by the orthography: a vowel with a shape mark carries it (the second of
+    ươ), else the last vowel before a coda, and without one the first of two, the middle of three.
 
-    ``word`` has no tone. A word without a vowel stays as it is.
+    A word that is no syllable, having no vowel, stays as it is.
     """
-    vowels = [i for i, c in enumerate(word) if unicodedata.normalize("NFD", c)[0] in "aeiouy"]
-    if len(vowels) > 1 and word[:2] in ("qu", "gi"):
-        vowels = [i for i in vowels if i > 1] or vowels
-    if not vowels:
+    parts = _SYLLABLE.fullmatch(word)
+    if parts is None:
         return word
-    shaped = [i for i in vowels if word[i] in "âêôăơư"]
-    closed = vowels[-1] < len(word) - 1
-    at = shaped[-1] if shaped else vowels[-1] if closed or len(vowels) == 1 else vowels[-2]
-    return unicodedata.normalize("NFC", word[: at + 1] + mark + word[at + 1 :])
+    onset, nucleus, coda = parts.groups()
+    shaped = max(map(nucleus.rfind, "ăâêôơư"))
+    seat = shaped if shaped >= 0 else len(nucleus) - (1 if coda or len(nucleus) == 1 else 2)
+    return unicodedata.normalize("NFC", onset + nucleus[: seat + 1] + mark + nucleus[seat + 1 :] + coda)
 
 
 def from_telex(word: str) -> str | None:
@@ -125,26 +128,6 @@ def from_telex(word: str) -> str | None:
     return place_tone(shaped, tone) if tone else shaped
 
 
-#: Initials and finals that sound alike in some region, and the sign that stands for both.
-_INITIALS = (("ngh", "ng"), ("gh", "g"), ("tr", "ch"), ("gi", "d"), ("r", "d"), ("s", "x"), ("k", "c"), ("qu", "q"), ("l", "n"))
-_FINALS = (("ng", "n"), ("nh", "n"), ("ch", "t"), ("c", "t"), ("y", "i"))
-
-
-def sound_key(word: str) -> str:
-    """A key that words which sound alike share: initials and finals merged, hook and tilde merged."""
-    key = unicodedata.normalize("NFD", word.lower()).replace("̃", "̉")
-    key = unicodedata.normalize("NFC", key)
-    for old, new in _INITIALS:
-        if key.startswith(old):
-            key = new + key[len(old) :]
-            break
-    for old, new in _FINALS:
-        if key.endswith(old) and len(key) > len(old):
-            key = key[: -len(old)] + new
-            break
-    return key
-
-
 @F.pandas_udf(T.IntegerType())
 def osa(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else osa_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
@@ -190,12 +173,7 @@ def untelex(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else from_telex(s))
 
 
-@F.pandas_udf(T.StringType())
-def phonetic(x: pd.Series) -> pd.Series:
-    return x.map(lambda s: None if s is None else sound_key(s))
-
-
-ALL = {f.func.__name__: f for f in (osa, common_run, ratio, delete_keys, luhn, nfc, unescape, telex, untelex, phonetic)}
+ALL = {f.func.__name__: f for f in (osa, common_run, ratio, delete_keys, luhn, nfc, unescape, telex, untelex)}
 
 
 def register(spark) -> None:
