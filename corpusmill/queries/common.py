@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.operators.retrieval import Index, build_index
 from corpusmill.plans.spread import spread
 
+
 class Family:
     """Queries of one module with their SQL, filled by the ``query`` decorator."""
 
@@ -38,6 +40,22 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
+_INDEXES: dict[tuple, Index] = {}
+
+
+def document_index(spark: SparkSession, sf_dir: str, analyzer: str = "words", terms: Column | None = None) -> Index:
+    """The index of ``documents`` under an analyzer: built by the first query of a session that asks, then read.
+
+    It is known by the table's path, time and size, so a table that was written anew is indexed anew.
+    """
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    status = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where)
+    key = (spark.sparkContext.applicationId, status.getPath().toString(), status.getModificationTime(), status.getLen(), analyzer)
+    if key not in _INDEXES:
+        _INDEXES[key] = build_index(docs(spark, sf_dir), terms)
+    return _INDEXES[key]
+
+
 def sql_clean(x: str) -> str:
     return rf"trim(regexp_replace(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 

@@ -8,7 +8,7 @@ from corpusmill.functions.text import plain_tokens, tokens
 from corpusmill.operators import interactive as I
 from corpusmill.operators import retrieval as R
 from corpusmill.operators import studies
-from corpusmill.queries.common import SQL_BM25, SQL_INDEX, Family, asked, docs, sql_clean, sql_plain, sql_tokens, sql_top, table
+from corpusmill.queries.common import SQL_BM25, SQL_INDEX, Family, asked, docs, document_index, sql_clean, sql_plain, sql_tokens, sql_top, table
 from corpusmill.queries.ranking import _RUNS, _runs, _targets
 
 FAMILY = Family()
@@ -25,7 +25,7 @@ weighted as (select qid, term, qtf::double as w from query union all select m.*
 def expanded_top10(spark, sf_dir):
     """Queries with synonyms at three tenths of the weight."""
     synonyms = spark.createDataFrame(list(_PAIRS.items()), "term string, other string")
-    index = R.build_index(docs(spark, sf_dir))
+    index = document_index(spark, sf_dir)
     return R.top_k(R.bm25(index, I.expanded(R.query_terms(asked(spark, sf_dir)), synonyms)), 10)
 
 
@@ -35,7 +35,7 @@ def reading_mixture_top10(spark, sf_dir):
     """Two readings of each query, three parts to one."""
     q = asked(spark, sf_dir)
     short = q.select("qid", F.array_join(F.slice(tokens(F.col("text")), 1, 5), " ").alias("text"), F.lit(1.0).alias("p"))
-    index = R.build_index(docs(spark, sf_dir))
+    index = document_index(spark, sf_dir)
     return R.top_k(R.bm25(index, I.reading_mixture(q.withColumn("p", F.lit(3.0)).unionByName(short))), 10)
 
 
@@ -43,7 +43,7 @@ def reading_mixture_top10(spark, sf_dir):
 m as (select qid, count(distinct doc_id) as documents from k join postings using (term) group by 1) select * from s join m using (qid)""")
 def evaluation_costs(spark, sf_dir):
     """Postings and documents that a query touches."""
-    return I.evaluation_costs(R.build_index(docs(spark, sf_dir)), R.query_terms(asked(spark, sf_dir)))
+    return I.evaluation_costs(document_index(spark, sf_dir), R.query_terms(asked(spark, sf_dir)))
 
 
 @query(f"""with {SQL_BM25}, run0 as ({sql_top('bm25', 20)}), top as (select qid, max(score) as m from run0 group by 1),
@@ -57,7 +57,7 @@ run as (select qid, doc_id, score + mm * (case when maker = artist then 1.0 else
 def boosted_top10(spark, sf_dir):
     """BM25 with additions for a source that was asked for, titles, language and standing."""
     d, q = table(spark, sf_dir, "documents"), asked(spark, sf_dir)
-    run = R.top_k(R.bm25(R.build_index(docs(spark, sf_dir)), R.query_terms(q)), 20)
+    run = R.top_k(R.bm25(document_index(spark, sf_dir), R.query_terms(q)), 20)
     facts = d.select(
         "doc_id", F.col("source").alias("artist"), F.array_join(F.slice(plain_tokens(F.col("text")), 1, 3), " ").alias("title"), F.col("lang").alias("mood"), (F.col("doc_id") % 100 / 100.0).alias("standing")
     )
@@ -134,7 +134,7 @@ s as (select k1, b, qid, doc_id, round(sum(qtf * ln(1 + (n_docs - df + 0.5) / (d
 r as (select *, row_number() over (partition by k1, b, qid order by s desc, doc_id) as r from s), f as (select k1, b, qid, min(r) as r from r semi join targets using (qid, doc_id) group by 1, 2, 3)
 select k1::double as k1, b::double as b, round(avg(case when r <= 10 then 1.0 / r else 0 end), 6) as mrr10 from (select distinct qid, k1, b from targets cross join g) left join f using (k1, b, qid) group by 1, 2""")
 def bm25_parameter_grid(spark, sf_dir):
-    index = R.build_index(docs(spark, sf_dir))
+    index = document_index(spark, sf_dir)
     return I.parameter_grid(index, R.query_terms(asked(spark, sf_dir)), _targets(spark, sf_dir), (0.5, 0.9, 1.5), (0.2, 0.4, 0.75))
 
 

@@ -188,9 +188,11 @@ def robots_rules(spark, sf_dir):
     return web.allowed(pages, rules)
 
 
-@query(r"""with f as (select unnest(['index, follow', 'noindex', 'NOFOLLOW', 'none', null, 'noindex, nofollow']) as content)
-select content, not (regexp_matches(coalesce(lower(content), ''), '\b(noindex|none)\b')) as may_index, not (regexp_matches(coalesce(lower(content), ''), '\b(nofollow|none)\b')) as may_follow from f""")
+@query(r"""with f as (select page_id, (['index, follow', 'noindex', 'NOFOLLOW', 'none', null, 'noindex, nofollow'])[page_id % 6 + 1] as content from pages)
+select page_id, content, not (regexp_matches(coalesce(lower(content), ''), '\b(noindex|none)\b')) as may_index, not (regexp_matches(coalesce(lower(content), ''), '\b(nofollow|none)\b')) as may_follow from f""")
 def robots_directives(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in ("index, follow", "noindex", "NOFOLLOW", "none", None, "noindex, nofollow")], "content string")
+    """What the directives of pages allow."""
+    said = F.array(*[F.lit(x).cast("string") for x in ("index, follow", "noindex", "NOFOLLOW", "none", None, "noindex, nofollow")])
+    rows = table(spark, sf_dir, "pages").select("page_id", F.element_at(said, (F.col("page_id") % 6 + 1).cast("int")).alias("content"))
     index, follow = web.robots_flags(F.col("content"))
-    return rows.select("content", index.alias("may_index"), follow.alias("may_follow"))
+    return rows.select("page_id", "content", index.alias("may_index"), follow.alias("may_follow"))

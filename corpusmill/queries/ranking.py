@@ -8,7 +8,7 @@ from corpusmill.functions.text import char_ngrams_padded, plain_tokens, tokens
 from corpusmill.operators import evaluation as E
 from corpusmill.operators import fusion, retrieval
 from corpusmill.plans.durable import Scratch
-from corpusmill.queries.common import SQL_BM25, Family, asked, docs, sql_plain, sql_tokens, sql_top, table
+from corpusmill.queries.common import SQL_BM25, Family, asked, docs, document_index, sql_plain, sql_tokens, sql_top, table
 
 FAMILY = Family()
 query = FAMILY.query
@@ -16,11 +16,10 @@ query = FAMILY.query
 
 def _runs(spark, sf_dir, depth=20):
     """bm25 over marked words, plain over words without marks."""
-    d, q = docs(spark, sf_dir), asked(spark, sf_dir)
-    out = None
+    q, out = asked(spark, sf_dir), None
     for name, analyse in (("bm25", tokens), ("plain", plain_tokens)):
         terms = analyse(F.col("text"))
-        run = retrieval.top_k(retrieval.bm25(retrieval.build_index(d, terms), retrieval.query_terms(q, terms)), depth).withColumn("system", F.lit(name))
+        run = retrieval.top_k(retrieval.bm25(document_index(spark, sf_dir, "words" if name == "bm25" else "plain", terms), retrieval.query_terms(q, terms)), depth).withColumn("system", F.lit(name))
         out = run if out is None else out.unionByName(run)
     return Scratch(spark, "runs").save(out, "runs")  # depth rows a query and system, used more than once
 
@@ -187,11 +186,16 @@ def ltr_reranked(spark, sf_dir):
     return fusion.rank_with(fusion.fit_ranker(features, "label", columns), features, columns, 10)
 
 
-@query()
+def _sql_grams(x: str) -> str:
+    padded = "'#' || w || '#'"
+    return f"flatten(list_transform({sql_plain(x)}, lambda w: case when length(w) < 2 then [{padded}] else list_transform(generate_series(1, length(w)), lambda i: ({padded})[i:i + 2]) end))"
+
+
+@query(f"with {SQL_BM25.replace(sql_tokens('text'), _sql_grams('text'))} {sql_top('bm25', 10)}")
 def char_gram_run(spark, sf_dir):
     """BM25 over character trigrams inside plain words."""
     terms = char_ngrams_padded(plain_tokens(F.col("text")), 3)
-    return retrieval.top_k(retrieval.bm25(retrieval.build_index(docs(spark, sf_dir), terms), retrieval.query_terms(asked(spark, sf_dir), terms)), 10)
+    return retrieval.top_k(retrieval.bm25(document_index(spark, sf_dir, "trigrams", terms), retrieval.query_terms(asked(spark, sf_dir), terms)), 10)
 
 
 @query(f"""with {_RUNS}, r as (select qid, doc_id, rank, score, length(text)::double as new, rank <= 5 as head from runs join documents using (doc_id) where system = 'bm25'),

@@ -8,7 +8,7 @@ from corpusmill.functions.text import plain_tokens, tokens
 from corpusmill.operators import resolution as S
 from corpusmill.operators import retrieval
 from corpusmill.operators.vectors import nearest
-from corpusmill.queries.common import SQL_BM25, Family, asked, docs, sql_plain, sql_tokens, sql_top, table
+from corpusmill.queries.common import SQL_BM25, Family, asked, docs, document_index, sql_plain, sql_tokens, sql_top, table
 
 FAMILY = Family()
 query = FAMILY.query
@@ -56,7 +56,7 @@ def distinct_ngrams(spark, sf_dir):
 run as (select qid, doc_id, 0.8 * score / max(score) over (partition by qid) + 0.2 * share as score from bm25 join r using (doc_id)) {sql_top('run', 10)}""")
 def rank_blended_top10(spark, sf_dir):
     """BM25 with a static rank of documents, here their size."""
-    run = retrieval.bm25(retrieval.build_index(docs(spark, sf_dir)), retrieval.query_terms(asked(spark, sf_dir)))
+    run = retrieval.bm25(document_index(spark, sf_dir), retrieval.query_terms(asked(spark, sf_dir)))
     return retrieval.top_k(S.blend_with_rank(run, table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("rank"))), 10)
 
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.operators import retrieval as R
-from corpusmill.queries.common import SQL_BM25, SQL_INDEX, Family, asked, docs, sql_tokens, sql_top, table
+from corpusmill.queries.common import SQL_BM25, SQL_INDEX, Family, asked, docs, document_index, sql_tokens, sql_top, table
 
 FAMILY = Family()
 query = FAMILY.query
 
 
 def _both(spark, sf_dir):
-    return R.build_index(docs(spark, sf_dir)), R.query_terms(asked(spark, sf_dir))
+    return document_index(spark, sf_dir), R.query_terms(asked(spark, sf_dir))
 
 
 @query(f"with {SQL_BM25} {sql_top('bm25', 10)}")
@@ -143,7 +143,7 @@ _HELD = f"with w as (select distinct doc_id, unnest({sql_tokens('text')}) as ter
 
 @query(f"{_HELD} select doc_id from h where list_contains(t, 'the') and (list_contains(t, 'and') or list_contains(t, 'of')) and not list_contains(t, 'was')")
 def boolean_and_not(spark, sf_dir):
-    return R.boolean(R.build_index(docs(spark, sf_dir)), ["the"], [["and", "of"]], ["was"])
+    return R.boolean(document_index(spark, sf_dir), ["the"], [["and", "of"]], ["was"])
 
 
 @query(f"""with d as (select doc_id, ' ' || array_to_string({sql_tokens('text')}, ' ') || ' ' as t from documents),
@@ -156,7 +156,7 @@ def phrase_match(spark, sf_dir):
 
 @query(f"with {SQL_INDEX} select term, df, cf, round(ln(1 + (n_docs - df + 0.5) / (df + 0.5)), 6) as idf from terms cross join stats where df >= 5")
 def posting_stats(spark, sf_dir):
-    index = R.build_index(docs(spark, sf_dir))
+    index = document_index(spark, sf_dir)
     return index.terms.where("df >= 5").crossJoin(index.stats).select("term", "df", "cf", F.round(R.idf(), 6).alias("idf"))
 
 
@@ -164,7 +164,7 @@ def posting_stats(spark, sf_dir):
 select count(*) as n_postings, count(*) * 32 as raw_bits, sum(8 * greatest(ceil(length(bin(gap)) / 7), 1))::bigint as vbyte_bits,
   sum(2 * length(bin(gap)) - 1)::bigint as gamma_bits from g""")
 def index_compression_bits(spark, sf_dir):
-    return R.index_sizes(R.build_index(docs(spark, sf_dir)))
+    return R.index_sizes(document_index(spark, sf_dir))
 
 
 @query(f"""with {SQL_BM25}, top as ({sql_top('bm25', 3)}),

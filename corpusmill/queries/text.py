@@ -247,9 +247,11 @@ def quoted_fragments(spark, sf_dir):
     return rows.where(F.regexp_count("fragment", F.lit(r"\S+")) >= 2)
 
 
-@query()
+@query(f"""with w as (select distinct unnest({sql_tokens('text')}) as word from documents), t as (select *, regexp_extract(word, '([àèìòùáéíóúýñãõ])', 1) as c from w)
+select word, case when c in ('à', 'è', 'ì', 'ò', 'ù') then 'huyen' when c in ('á', 'é', 'í', 'ó', 'ú', 'ý') then 'sac' when c <> '' then 'nga' end as tone,
+  translate(word, 'àèìòùáéíóúýñãõ', 'aeiouaeiouynao') as no_tone, strip_accents(word) as plain, translate(word, 'áéíóúý', 'àèìòùỳ') as swapped from t""")
 def vietnamese_tones(spark, sf_dir):
-    """Tone functions over a fixed list of words."""
-    rows = spark.createDataFrame([(w,) for w in ("má", "mà", "mả", "mã", "mạ", "ma", "người", "đường")], "word string")
+    """Tone functions over all words."""
+    rows = docs(spark, sf_dir).select(F.explode(T.tokens(F.col("text"))).alias("word")).distinct()
     w = F.col("word")
     return rows.select("word", T.tone_of(w).alias("tone"), T.strip_tones(w).alias("no_tone"), T.strip_marks(w).alias("plain"), T.swap_tone(w, "sac", "huyen").alias("swapped"))
