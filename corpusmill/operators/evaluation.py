@@ -96,7 +96,7 @@ def bootstrap_interval(values: DataFrame, samples: int = 500, seed: int = 1, lev
         lambda a, k: F.struct((a["n"] + F.when(u > a["c"] + a["p"], 1).otherwise(0)).alias("n"), (a["c"] + a["p"]).alias("c"), (a["p"] / (k + 1)).alias("p")),
     )["n"]
     drawn = values.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("n", n)
-    means = drawn.groupBy("b").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("m"))
+    means = drawn.groupBy("b").agg(F.try_divide(F.sum(F.col("v") * F.col("n")), F.sum("n")).alias("m"))
     tail = (1 - level) / 2
     interval = means.agg(F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail))).alias("i"))
     return values.agg(F.avg("v").alias("mean")).crossJoin(interval).select("mean", F.col("i")[0].alias("low"), F.col("i")[1].alias("high"))

@@ -46,10 +46,159 @@ def test_query_equals_its_sql(spark, sql, name):
     assert got == want
 
 
+def texts_of(name, column):
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(f"{SF}/{name}.parquet").to_pylist()
+    return {r[column]: r["text"] for r in t}
+
+
+def ranked(rows, by, score, k):
+    """Places 1, 2, ... of each key, by falling score."""
+    lists = {}
+    for r in rows:
+        lists.setdefault(r[by], []).append(r)
+    ordered = [sorted(x, key=lambda r: r["rank"]) for x in lists.values()]
+    return all([r["rank"] for r in x] == list(range(1, len(x) + 1)) and len(x) <= k and all(p[score] >= q[score] - 1e-9 for p, q in zip(x, x[1:], strict=False)) for x in ordered)
+
+
+def plain_words(text):
+    import re
+    import unicodedata
+
+    bare = "".join(c for c in unicodedata.normalize("NFD", text or "") if unicodedata.category(c) != "Mn")
+    return re.sub(r"[^\w\s]|_", " ", bare.lower().replace("đ", "d")).split()
+
+
+def components(rows):
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(f"{SF}/lineitem.parquet", columns=["l_partkey", "l_suppkey"]).to_pylist()
+    return {f"p{r['l_partkey']}" for r in t} | {f"s{r['l_suppkey']}" for r in t} | {f"p{r['l_partkey'] + 1}" for r in t}
+
+
+def answers_hold(rows):
+    """A sentence names one part's title: the cluster is the least part of that title, unless a longer title is in it too."""
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(f"{SF}/part.parquet").to_pylist()
+    least, title = {}, {}
+    for r in t:
+        least[r["p_name"]] = min(r["p_partkey"], least.get(r["p_name"], r["p_partkey"]))
+        title[r["p_partkey"]] = r["p_name"]
+    return len(rows) == len(t) and all(r["cluster"] == least[title[r["id"]]] and 0 <= r["confidence"] <= 1 for r in rows)
+
+
+def noise_counts_hold(rows):
+    asked = {i: len(plain_words(t)) for i, t in texts_of("benchmark", "item_id").items()}
+    return len(rows) == len(asked) and all(r["changed"] == max(1, round(0.2 * len(r["text"].split()))) for r in rows)
+
+
+def swept(rows):
+    asked = texts_of("benchmark", "item_id")
+    exact = [r for r in rows if r["rate"] == 0.0]
+    return len(rows) == 5 * len(asked) and all(asked[r["qid"]] == r["text"] for r in exact) and all(plain_words(r["text"]) == plain_words(asked[r["qid"]]) for r in rows if r["rate"] is None)
+
+
+def whole_readings(rows, column):
+    """A reading has as many words as its query: nothing is cut."""
+    n = {i: len(plain_words(t)) for i, t in texts_of("benchmark", "item_id").items()}
+    return len(rows) > 0 and all(len(r[column].split()) == n[r["qid"]] for r in rows)
+
+
+def joined_again(rows):
+    """Cut words are whole again in some texts, and no text lost a letter."""
+    texts = texts_of("documents", "doc_id")
+    same = all(r["text"] is None or r["text"].replace(" ", "") == texts[r["doc_id"]].replace(" ", "") for r in rows)
+    return same and len(rows) == len(texts) and sum(r["joins"] for r in rows) > 0
+
+
+def typed_words(rows):
+    plain = {i: plain_words(t) for i, t in texts_of("documents", "doc_id").items()}
+    return all(sum(a != b for a, b in zip(r["text"].split(), plain[r["qid"]], strict=False)) <= r["typed"] <= 2 for r in rows)
+
+
+def drafted(rows):
+    by = {}
+    for r in rows:
+        by.setdefault(r["qid"], []).append(r)
+    return all(len({r["doc_id"] for r in x}) == len(x) and abs(sum(r["team"] == "plain" for r in x) - sum(r["team"] == "bm25" for r in x)) <= 2 for x in by.values())
+
+
+def merged(rows):
+    gone, last = set(), 0.0
+    for r in sorted(rows, key=lambda r: r["step"]):
+        if r["a"] in gone or r["b"] in gone or not r["a"] < r["b"]:
+            return False
+        gone.add(r["b"])
+        last = max(last, r["distance"])
+    return 0 < last <= 2
+
+
+def few_groups(rows):
+    by = {}
+    for r in rows:
+        by.setdefault(r["qid"], set()).add(r["group"])
+    return all(x <= {0, 1, 2, 3} for x in by.values()) and any(len(x) > 1 for x in by.values())
+
+
+def split_once(rows):
+    import hashlib
+
+    texts = texts_of("documents", "doc_id")
+    groups = [hashlib.md5(texts[r["doc_id"]].encode()).hexdigest() for r in rows]
+    return len(groups) == len(set(groups)) and {r["split"] for r in rows} == {"train", "dev", "test"} and all(" ".join(r["text"].split()) == r["text"] for r in rows)
+
+
+#: What holds for the rows of queries that SQL doesn't express.
+CONTENT = {
+    "adaptive_weights": lambda x: all(0 <= r["mrr"] <= 1 and r["own"] == (r["cv_kind"] > r["cv_global"]) for r in x),
+    "answers_resolved": answers_hold,
+    "band_recall": lambda x: x[0]["similar"] > 0 and x[0]["recall"] >= 0.95,
+    "bootstrap_interval": lambda x: x[0]["low"] <= x[0]["mean"] <= x[0]["high"],
+    "compared_systems": lambda x: 0 < x[0]["p"] <= x[0]["p_holm"] <= 1 and x[0]["pairs"] == 1,
+    "dialogue_state_streamed": lambda x: len({r["conv_id"] for r in x}) == len(x) and all(r["questions"] <= r["n_turns"] == r["last_turn"] + 1 for r in x),
+    "fragments_by_split": split_once,
+    "grouped_results": few_groups,
+    "kmeans_groups": lambda x: len(x) == 10 and sum(r["n"] for r in x) == 500,
+    "label_communities": lambda x: sum(r["n"] for r in x) == len(components(x)),
+    "leading_systems": lambda x: sum(r["n"] for r in x) == 100,
+    "lsa_top10": lambda x: len(x) == 400 and ranked(x, "query_id", "score", 10) and all(-1 <= r["score"] <= 1 for r in x),
+    "ltr_reranked": lambda x: ranked(x, "qid", "score", 10) and all(0 <= r["score"] <= 1 for r in x),
+    "macro_tests": lambda x: 0 < x[0]["p"] <= 1 and x[0]["low"] <= x[0]["mean"] + 1e-9 and x[0]["mean"] <= x[0]["high"] + 1e-9,
+    "merge_steps": merged,
+    "minhash_errors": lambda x: [r["k"] for r in sorted(x, key=lambda r: -r["mean_error"])] == [16, 64, 128],
+    "noise_shares": lambda x: {r["op"] for r in x} == {"initial", "final", "tone", "typo"} and abs(sum(r["share"] for r in x) - 1) < 1e-4,
+    "noise_sweep": swept,
+    "noisy_channel": noise_counts_hold,
+    "observed_noise": lambda x: len(x) == 40 and sum(r["changed"] for r in x) > 0,
+    "pagerank_converged": lambda x: {r["node"] for r in x} == components(x) and abs(sum(r["rank"] for r in x) - 1) < 1e-6 and all(r["rank"] > 0 for r in x),
+    "parse_trees": lambda x: all(r["intent"] == "find" and r["about"] == "rain" for r in x if r["text"].startswith("find")) and sum(r["text"].startswith("find") for r in x) > 0,
+    "query_kinds": lambda x: len(x) == 120 and sum(r["kind"] == r["predicted"] for r in x) >= 80,
+    "randomisation_test": lambda x: 0 < x[0]["p"] <= 1,
+    "restored_readings": lambda x: whole_readings(x, "reading"),
+    "score_table": lambda x: {r["system"] for r in x} == {"bm25", "plain"} and all(0 <= r["v"] <= 1 for r in x),
+    "sense_overlap": lambda x: {r["sense"] for r in x} == {1, 2} and len(x) == len(texts_of("documents", "doc_id")),
+    "sound_and_typing": lambda x: all(r["typed"] == r["word"] for r in x if r["word"].isascii()) and all(r["edits"] >= 0 for r in x),
+    "spelling_candidates": lambda x: all(r["cost"] >= 0 and 1 <= r["place"] <= 5 for r in x) and any(r["word"] == r["candidate"] and r["place"] == 1 for r in x),
+    "spelling_corrected": lambda x: whole_readings(x, "corrected"),
+    "split_words_joined": joined_again,
+    "team_draft_interleaving": drafted,
+    "telex_residue": typed_words,
+    "time_expressions": lambda x: all(0 <= r["start"] < r["end"] for r in x),
+    "version_substitutions": lambda x: {r["kind"] for r in x} <= {"marks", "onset", "ending", "edit", "other"} and all(r["old"] != r["new"] and r["n"] > 0 for r in x),
+}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_gives_rows(spark, name):
+def test_query_without_sql_holds(spark, name):
     df = QUERIES[name](spark, SF)
-    assert len(set(df.columns)) == len(df.columns) and df.count() >= 0
+    assert len(set(df.columns)) == len(df.columns)
+    rows = df.collect()
+    if name.startswith("op") or name == "pipeline":  # held against brute force in tests/llm
+        assert rows
+    else:
+        assert CONTENT[name](rows), rows[:3]
 
 
 def test_every_oracle_has_its_query():
