@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import clean, has_marks, strip_marks, tokens
-from corpusmill.operators.retrieval import Index, bm25, top_k
+from corpusmill.operators.retrieval import Index, top_k
 
 
 def expanded(query: DataFrame, synonyms: DataFrame, weight: float = 0.3) -> DataFrame:
@@ -186,7 +186,3 @@ def analysed(queries: DataFrame, vocabulary: DataFrame, moods: dict[str, str], n
     held = F.filter("names", lambda n: padded.contains(F.concat(F.lit(" "), n, F.lit(" "))))
     longest = F.aggregate(held, F.lit(None).cast("string"), lambda a, n: F.when(a.isNull() | (F.length(n) > F.length(a)), n).otherwise(a))
     return rows.crossJoin(listed).select("qid", "cleaned", "plain", "quoted", mood.alias("mood"), longest.alias("artist")).join(features, "qid")
-
-
-def first_hits(index: Index, query: DataFrame, k: int) -> DataFrame:
-    return top_k(bm25(index, query), k)
