@@ -2,15 +2,16 @@
 
 SimHash comes first: fingerprints of the distinct shingle sets are searched by the Gray-order index of ``simhash``,
 and sets within its three bits are tested. Sets of similarity 0.8 differ in about ten of 64 bits, and a search that
-wide meets unrelated texts; so what lies further is routed by MinHash to 32 keys of five rows, which two sets of
-similarity 0.8 miss together once in about 300,000 times (computed: (1 - 0.8^5)^32). A key that many sets share, for
-a passage that they have in common, is parted by four further keys of three rows; with that the chance of a miss is
-at most 1 in 100,000 (computed: (1 - 0.8^5 (1 - (1 - 0.8^3)^4))^32). Every link, of either search, is the exact
-similarity of two sets.
-
-Pairs of a key are not all tested: each set is first tested with one centre of its key, then only sets whose
-components still differ are. A pair is left out only if its sets are in one component already or their sizes
-rule the similarity out, so components are those of all pairs that share a key. Nothing is capped.
+wide meets unrelated texts; so MinHash says which sets may have further partners: those that share one of 32 keys
+of five rows with any other set. Two sets of similarity 0.8 share none once in about 300,000 times (computed:
+(1 - 0.8^5)^32). All those sets are joined exactly, whatever keys they share and however many share a key:
+shingles stand in one order, rarest first, and two sets of the similarity have a shingle in common among the first
+of both (prefix filter). Every link, of either search, is the exact similarity of two sets.
+
+Pairs that share such a shingle are left out only if a bound rules the similarity out (by places of the shingle, or by
+the parities of the sets' hashes, whose differing bits are differing shingles) or if their sets are in one component
+already. Where a shingle has many sets, each is first tested with a few centres of it, so that groups of copies
+become components; then all pairs that are left are tested. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -24,20 +25,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.simhash import near_links
-from corpusmill.operators.components import connected_components
+from corpusmill.operators.components import connected_components, with_value
 from corpusmill.plans.durable import Scratch
 
 SEED = 42
 SHINGLE, BANDS, ROWS = 5, 32, 5
-#: A key that more sets share is parted by further keys of its sets, and those that share one of them are tested.
-CROWDED, SUBS, SUB_ROWS = 64, 4, 3
 #: Least similarity in per cent.
 LEAST_PERCENT = 80
-#: Rounds with one centre a key at most, before all pairs that are left are tested.
-CENTRES = 3
+#: Longs that hold the parities of a set's hashes.
+PARITY = 8
+#: Pairs for each row of a prefix that are few enough to test them all at once; centres of a shingle in one round.
+FEW, CENTRES = 8, 4
 
 _rng = np.random.default_rng(SEED)
-_HASHES = BANDS * ROWS + SUBS * SUB_ROWS
+_HASHES = BANDS * ROWS
 _FACTORS = _rng.integers(0, 1 << 63, _HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSETS = _rng.integers(0, 1 << 63, _HASHES, dtype=np.uint64)
 
@@ -62,15 +63,21 @@ def fingerprint(s: np.ndarray) -> int:
 
 
 def band_keys(s: np.ndarray) -> np.ndarray:
-    """The keys of a shingle set, one a band, and its further keys behind them."""
+    """The keys of a shingle set, one a band."""
     least = np.full(_HASHES, ~np.uint64(0))
     for at in range(0, len(s), 512):
         h = s[at : at + 512, None] * _FACTORS + _OFFSETS
         h ^= h >> np.uint64(32)
         np.minimum(least, h.min(axis=0), out=least)
-    ends = [*range(ROWS, BANDS * ROWS + 1, ROWS), *range(BANDS * ROWS + SUB_ROWS, _HASHES + 1, SUB_ROWS)]
-    parts = zip([0, *ends[:-1]], ends, strict=True)
-    return np.array([xxhash.xxh64_intdigest(least[i:j].tobytes(), k) for k, (i, j) in enumerate(parts)], dtype=np.uint64)
+    bands = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(bands)], dtype=np.uint64)
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    """Bit i is the parity of the hashes that fall on i: where two sets differ in d hashes, theirs differ in d bits at most."""
+    at = (s * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    odd = np.bincount((at % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,8 +94,9 @@ def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [shingle_set(x.as_py()).view(np.int64) for x in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
+        sets = [shingle_set(x.as_py()) for x in b.column(1)]
+        columns = [b.column(0), *(pa.array([f(s) for s in sets], pa.list_(pa.int64())) for f in (lambda s: s.view(np.int64), parities))]
+        yield pa.RecordBatch.from_arrays(columns, names=["node", "s", "odd"])
 
 
 def _pick(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -115,14 +123,44 @@ def _tested(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").where(similar).select("a", "b")
 
 
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """(key, node, n, at, odd): the rarest shingles of each set that others have too, at: how many of the set are rarer.
+
+    As many as it takes: two sets of the similarity have one of them in common.
+    """
+    each = sets.select("node", F.explode("s").alias("key"))
+    counts = each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    # a shingle of one set comes before all others: its place is known without moving it
+    ordered = with_value(each, counts, ["key"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("o"))
+    n = F.size("s")
+    placed = sets.join(ordered, "node").select("node", "odd", n.alias("n"), (n - F.size("o")).alias("single"), "o")
+    length = F.col("n") - F.ceil(F.col("n") * LEAST_PERCENT / 100).cast("int") + 1
+    placed = placed.withColumn("o", F.slice("o", 1, F.greatest(length - F.col("single"), F.lit(0))))
+    return placed.select("node", "n", "odd", "single", F.posexplode("o").alias("j", "x")).select(
+        F.col("x.key").alias("key"), "node", "n", (F.col("single") + F.col("j")).alias("at"), "odd"
+    )
+
+
 def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b) of rows (key, node, n, label) that share a key and are in two components; sizes must allow the similarity."""
-    other = right.select("key", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "label")))
-    fit = 100 * F.least("n", "n_") >= LEAST_PERCENT * F.greatest("n", "n_")
-    met = left.join(other, "key").where((F.col("label") != F.col("label_")) & fit)
+    """(a, b) of rows (key, node, n, at, odd, label) that share a key, are in two components and may have the similarity."""
+    once = F.col("node") < F.col("node_") if left is right else F.lit(True)
+    other = right.select("key", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "at", "odd", "label")))
+    both = F.col("n") + F.col("n_")
+    # of the first shingle in common: so many can be in common at most
+    enough = (100 + LEAST_PERCENT) * F.least(F.col("n") - F.col("at"), F.col("n_") - F.col("at_")) >= LEAST_PERCENT * both
+    differing = sum((F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("odd_")[i])) for i in range(PARITY)), F.lit(0))
+    near = (100 + LEAST_PERCENT) * differing <= (100 - LEAST_PERCENT) * both
+    met = left.join(other, "key").where((F.col("label") != F.col("label_")) & once & enough & near)
     return met.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
 
 
+def _centres(met: DataFrame, k: int) -> DataFrame:
+    """Some rows of each key, by a hash of their node and the round."""
+    own = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "at", "odd", "label")
+    part = F.pmod(F.xxhash64(F.lit(k), "node"), F.lit(CENTRES)).alias("part")
+    return met.groupBy("key", part).agg(F.min(own).alias("m")).select("key", "m.node", "m.n", "m.at", "m.odd", "m.label")
+
+
 def _within_bits(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): sets whose fingerprints are equal or linked by the Gray-order index, each with one other of its class."""
     filled = distinct.where("n > 0")
@@ -146,47 +184,39 @@ def _components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     distinct = scratch.save(
         marked.groupBy("node").agg(F.min(rank).alias("least"), *(F.first(c).alias(c) for c in ("n", "fp", "keys"))), "distinct"
     )
-    subs = F.slice("keys", BANDS + 1, SUBS)
-    routed = distinct.select("node", "n", subs.alias("subs"), F.explode(F.slice("keys", 1, BANDS)).alias("key"))
-    busy = routed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    scratch.drop("marked")
+    routed = distinct.select("node", F.explode("keys").alias("key"))
+    busy = routed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     close = scratch.save(_within_bits(distinct, scratch), "close")
-    shared = scratch.save(routed.join(busy, "key"), "shared")
-    parted = shared.where(F.col("c") > CROWDED).select("node", "n", "key", F.posexplode("subs").alias("j", "sub"))
-    parted = parted.select("node", "n", F.xxhash64("key", "j", "sub").alias("key"))
-    again = parted.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    met = shared.where(F.col("c") <= CROWDED).select("key", "node", "n").unionByName(parted.join(again, "key").select("key", "node", "n"))
-    nodes = met.select("node").unionByName(close.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    nodes = with_value(routed, busy, ["key"]).select("node").unionByName(close.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     asked = distinct.join(nodes, "node").select("least.i", "least.h", "node")
     texts = _pick(docs.select("doc_id", "text"), asked).select("node", F.col("c1").cast("binary").alias("raw"))
-    sets = scratch.save(texts.mapInArrow(_set_batches, "node long, s array<long>"), "sets")
+    sets = scratch.save(texts.mapInArrow(_set_batches, "node long, s array<long>, odd array<long>"), "sets")
 
-    links = scratch.save(_tested(close, sets), "links_close")
-    roots = connected_components(links, scratch, "components_close")
-    met = scratch.save(met.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("label")), "met_0")
-    for k in range(CENTRES + 1):
-        sizes = met.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("same"))
+    met = scratch.save(_prefixes(sets).withColumn("label", F.col("node")), "met_0")
+    links, before, k = None, None, 0
+    while True:
+        sizes = met.groupBy("key", "label").agg(F.count("*").alias("c"))
+        sizes = sizes.groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("same"))
         left, rows = sizes.agg(F.sum((F.col("c") * F.col("c") - F.col("same")) / 2), F.sum("c")).first()
-        if not left:
+        left, rows = left or 0, rows or 0
+        if k and not left:
             break
-        last = k == CENTRES or (k and left <= 8 * rows)  # few enough to test them all
-        if last:
-            pairs = _pairs(met, met)
-        else:
-            order = F.struct(F.xxhash64("node", F.lit(k)), "node", "n", "label")
-            centres = met.groupBy("key").agg(F.min(order).alias("m")).select("key", "m.node", "m.n", "m.label")
-            # a set of a large group meets its centre in almost every key: an eighth of the keys is enough in one round
-            some = met.where(F.pmod(F.xxhash64("key", "node", F.lit(k)), F.lit(8)) == 0)
-            pairs = _pairs(some, centres)
+        # centres as long as a round of them leaves half the pairs at most; then all that are left
+        last = left <= FEW * rows or (before is not None and 2 * left > before)
+        pairs = _pairs(met, met if last else _centres(met, k))
+        pairs = pairs if k else pairs.unionByName(close).distinct()
         found = scratch.save(_tested(pairs, sets), f"links_{k}")
-        links = links.unionByName(found)
+        links = links.unionByName(found) if k else found
         roots = connected_components(links, scratch, f"components_{k}")
         if last:
             break
         # keys whose sets are all in one component are done
-        now = met.drop("label").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("label"))
+        now = met.drop("label").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
         open_keys = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        met = scratch.save(now.join(open_keys, "key"), f"met_{k + 1}")
+        met = scratch.save(with_value(now, open_keys, ["key"]), f"met_{k + 1}")
         scratch.drop(f"met_{k}")
+        before, k = left, k + 1
     placed = distinct.select("node", "least")
     return placed.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
 

@@ -159,6 +159,34 @@ def test_simhash_links_what_all_pairs_do(spark):
     assert simhash.near_duplicates(docs.where("false")).count() == 0
 
 
+def passages(seed, n):
+    """Two texts of similarity 0.81 and ``n`` that only share their passage of 100 words, 0.73 alike at most."""
+    rnd = random.Random(seed)
+    words = lambda k: " ".join(f"{rnd.getrandbits(32):08x}" for _ in range(k))
+    passage = words(100)
+    return [f"{passage} {words(k)}" for k in (11, 11, *[25] * n)]
+
+
+def test_near_copies_link_what_all_pairs_do(spark):
+    rows = corpus(7, 90)
+    rows += [(200 + k, t.replace(" ", " x ", k % 4), "s1") for k, (_, t, _) in enumerate(rows[:40]) if t]
+    sets = [frozenset(near_copies.shingle_set((t or "").encode()).tolist()) for _, t, _ in rows]
+    nodes = set(sets)
+    pairs = [(a, b) for a, b in itertools.combinations(nodes, 2) if 100 * len(a & b) >= 80 * len(a | b)]
+    kept = near_copies.keep_one(frame(spark, rows)).collect()
+    want = classes(nodes, pairs)
+    assert pairs and len(kept) == len(want)
+    own = Counter(sets[k] for r in kept for k in [next(k for k, (i, t, _) in enumerate(rows) if (i, t) == (r["doc_id"], r["text"]))])
+    assert all(sum(own[x] for x in c) == 1 for c in want)
+
+
+def test_near_copies_of_crowded_keys_are_found(spark):
+    """All eight keys that the first two texts share are shared by more than a hundred others."""
+    texts = passages(8, 400)
+    kept = near_copies.keep_one(frame(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()
+    assert {r["doc_id"] for r in kept} == {0, *range(2, 402)}
+
+
 def test_gray_index_and_crowded_cells_lose_no_link(spark):
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
