@@ -131,8 +131,10 @@ def mix_plan(docs: DataFrame, shards: int = 8, seed: int = 5, block_docs: int =
     stride = F.greatest(F.floor(F.col("blocks") * 0.6180339887), F.lit(1)).cast("long")
     turned = F.pmod(F.col("block") * _coprime(stride, F.col("blocks")) + F.xxhash64(F.lit(seed), "place") % 1_000_003, F.col("blocks"))
     summed = with_sum_before(blocks.withColumn("turn", turned), ["place"], "turn", F.col("words"), "before")
-    whole = F.col("before") + F.col("words") <= F.col("rest")
-    partly = ~whole & (F.col("before") < F.col("rest"))
+    # a block without a word takes no room: where no rest is left it isn't drawn
+    room = F.col("before") < F.col("rest")
+    whole = room & (F.col("before") + F.col("words") <= F.col("rest"))
+    partly = room & ~whole
     summed = scratch.save(summed.withColumn("whole", whole).withColumn("partly", partly), "blocks")
     drawn = F.when(F.col("whole") | F.col("partly"), 1).otherwise(0)
     ranked = with_sum_before(summed, ["place"], "turn", F.lit(1), "nth")
