@@ -187,6 +187,14 @@ def test_near_copies_of_crowded_keys_are_found(spark):
     assert {r["doc_id"] for r in kept} == {0, *range(2, 402)}
 
 
+def test_a_passage_of_many_texts_makes_few_pairs(spark, monkeypatch):
+    made, tested = [], near_copies._tested
+    monkeypatch.setattr(near_copies, "_tested", lambda pairs, sets: made.append(pairs.count()) or tested(pairs, sets))
+    texts = passages(8, 400)
+    assert near_copies.keep_one(frame(spark, [(k, t, "s") for k, t in enumerate(texts)])).count() == 401
+    assert sum(made) <= 402
+
+
 def test_gray_index_and_crowded_cells_lose_no_link(spark):
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
