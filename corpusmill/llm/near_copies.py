@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.simhash import near_links
 from corpusmill.operators.components import connected_components, with_value
+from corpusmill.plans.batches import bound_batches
 from corpusmill.plans.durable import Scratch
 
 SEED = 42
@@ -174,6 +175,7 @@ def _within_bits(distinct: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, least, root): each distinct set, its first document and its component."""
+    bound_batches(docs.sparkSession)
     narrow = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"), F.xxhash64("text").alias("text_hash")
     )

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from corpusmill.llm.prefix_sums import with_sum_before
+from corpusmill.plans.batches import bound_batches
 from corpusmill.plans.durable import Scratch
 
 LENGTH, END_ID = 2048, 0
@@ -124,6 +125,7 @@ def tokenise(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int
     A document is the ids of its whole text (null: none), then ``end_id``; one longer than ``length`` is
     cut into pieces of ``length``, of which the last may be shorter. ids is null unless ``keep_ids``.
     """
+    bound_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
     return narrow.mapInArrow(_piece_batches(vocabulary, length, end_id, keep_ids), schema)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.plans.batches import bound_batches
 from corpusmill.plans.durable import Scratch
 
 #: Weights; a power of two.
@@ -158,6 +159,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more; columns as in ``docs``, whatever their names."""
+    bound_batches(docs.sparkSession)
     names = [f"c{i}" for i in range(len(docs.columns))]  # no name can clash inside
     plain = docs.toDF(*names)
     at = docs.columns.index("text")

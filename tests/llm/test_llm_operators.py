@@ -724,3 +724,42 @@ def test_sharding_query_moves_texts_and_takes_digests_from_them(spark, monkeypat
     raw = {r["doc_id"]: ((r["text"] or "") + "!").encode() for r in docs.collect()}
     assert len(got) == len(raw)
     assert all(r["text_crc32"] == zlib.crc32(raw[r["doc_id"]]) and r["size"] == len(raw[r["doc_id"]]) + 1 for r in got)
+
+
+@pytest.mark.parametrize("stage", ["quality", "near_dedup", "packing"])
+def test_python_stages_read_whole_texts_in_bounded_batches(spark, monkeypatch, tmp_path, stage):
+    from corpusmill.plans.batches import BATCH_BYTES, SETTING
+
+    def watched(f):
+        def run(batches):
+            def each():
+                for b in batches:
+                    (tmp_path / f"{id(b)}-{random.random()}").write_text(f"{b.num_rows} {b.nbytes}")
+                    yield b
+
+            return f(each())
+
+        return run
+
+    rows = [(k, f"t{k} " * 40_000, "s") for k in range(90)]
+    docs = frame(spark, rows).coalesce(1)
+    apply, module, name, factory = {
+        "quality": (lambda: quality_model.keep_good(docs, np.ones(1025, dtype=np.float32)), quality_model, "_score_batches", True),
+        "near_dedup": (lambda: near_copies.keep_one(docs), near_copies, "_signature_batches", False),
+        "packing": (lambda: packing.pack(docs, vocabulary(), keep_ids=False), packing, "_piece_batches", True),
+    }[stage]
+    plain = getattr(module, name)
+    monkeypatch.setattr(module, name, (lambda *a: watched(plain(*a))) if factory else watched(plain))
+    before = spark.conf.get(SETTING)
+    try:
+        spark.conf.unset(SETTING)
+        got = apply().select("doc_id").distinct().count()
+        assert got == 90
+        seen = [tuple(map(int, f.read_text().split())) for f in tmp_path.iterdir()]
+        assert sum(n for n, _ in seen) == 90
+        assert max(size for _, size in seen) <= BATCH_BYTES + 2**20  # the row that passes the bound is in
+        spark.conf.set(SETTING, "1m")
+        apply()
+        assert spark.conf.get(SETTING) == "1m"  # a lower bound of the session stays
+    finally:
+        spark.conf.set(SETTING, before)
