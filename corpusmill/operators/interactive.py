@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import clean, has_marks, strip_marks, tokens
-from corpusmill.operators.retrieval import Index, top_k
+from corpusmill.operators.retrieval import Index, idf, top_k
+from corpusmill.operators.scoring import target_ranks
 
 
 def expanded(query: DataFrame, synonyms: DataFrame, weight: float = 0.3) -> DataFrame:
@@ -150,19 +151,16 @@ def next_steps(turns: DataFrame, sure: float = 0.35, margin: float = 0.1) -> Dat
 
 
 def parameter_grid(index: Index, query: DataFrame, targets: DataFrame, k1s: tuple, bs: tuple) -> DataFrame:
-    """(k1, b, mrr10): BM25 under every pair of parameters; the postings of query terms are looked up once."""
-    known = query.join(index.terms, "term")
-    met = index.postings.join(known, "term").join(index.docs, "doc_id").crossJoin(index.stats)  # stats: one row
-    grid = F.explode(F.array(*[F.struct(F.lit(float(k)).alias("k1"), F.lit(float(b)).alias("b")) for k in k1s for b in bs])).alias("g")
-    weight = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    k1, b = F.col("g.k1"), F.col("g.b")
-    part = F.col("qtf") * weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = met.select("*", grid).groupBy(k1.alias("k1"), b.alias("b"), "qid", "doc_id").agg(F.round(F.sum(part), 6).alias("s"))
-    place = F.row_number().over(Window.partitionBy("k1", "b", "qid").orderBy(F.desc("s"), "doc_id"))
-    best = scored.withColumn("r", place).join(targets, ["qid", "doc_id"]).groupBy("k1", "b", "qid").agg(F.min("r").alias("r"))
-    every = targets.select("qid").distinct().select("qid", grid).select("qid", "g.*")
+    """(k1, b, mrr10): BM25 under every pair of parameters; a document's scores under all of them are summed at once."""
+    pairs = [(float(k1), float(b)) for k1 in k1s for b in bs]
+    known = query.join(index.terms, "term").crossJoin(index.stats)  # stats: one row
+    wanted = known.select("qid", "term", (F.col("qtf") * idf()).alias("w"), F.col("avgdl").alias("a"), F.lit(0.0).alias("base"), F.lit(0.0).alias("n_terms"))
+    gain = lambda tf, dl, a: [tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / a)) for k1, b in pairs]
+    best = target_ranks(index.held, wanted, targets, gain)
+    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("g"), F.lit(k1).alias("k1"), F.lit(b).alias("b")) for i, (k1, b) in enumerate(pairs)])).alias("x")
+    every = targets.select("qid").distinct().select("qid", grid).select("qid", "x.*")
     rr = F.when(F.col("r") <= 10, 1.0 / F.col("r")).otherwise(0.0)
-    return every.join(best, ["k1", "b", "qid"], "left").groupBy("k1", "b").agg(F.round(F.avg(rr), 6).alias("mrr10"))
+    return every.join(best, ["g", "qid"], "left").groupBy("k1", "b").agg(F.round(F.avg(rr), 6).alias("mrr10"))
 
 
 def selectively_reranked(run: DataFrame, new: DataFrame, unsure: DataFrame, depth: int) -> DataFrame:

@@ -26,7 +26,7 @@ def expanded_top10(spark, sf_dir):
     """Queries with synonyms at three tenths of the weight."""
     synonyms = spark.createDataFrame(list(_PAIRS.items()), "term string, other string")
     index = document_index(spark, sf_dir)
-    return R.top_k(R.bm25(index, I.expanded(R.query_terms(asked(spark, sf_dir)), synonyms)), 10)
+    return R.bm25_top(index, I.expanded(R.query_terms(asked(spark, sf_dir)), synonyms), 10)
 
 
 @query(f"""with {SQL_INDEX}, r as (select item_id as qid, {sql_tokens('text')} as t, 3.0 as p from benchmark union all select item_id, ({sql_tokens('text')})[1:5], 1.0 from benchmark),
@@ -36,7 +36,7 @@ def reading_mixture_top10(spark, sf_dir):
     q = asked(spark, sf_dir)
     short = q.select("qid", F.array_join(F.slice(tokens(F.col("text")), 1, 5), " ").alias("text"), F.lit(1.0).alias("p"))
     index = document_index(spark, sf_dir)
-    return R.top_k(R.bm25(index, I.reading_mixture(q.withColumn("p", F.lit(3.0)).unionByName(short))), 10)
+    return R.bm25_top(index, I.reading_mixture(q.withColumn("p", F.lit(3.0)).unionByName(short)), 10)
 
 
 @query(f"""with {SQL_INDEX}, k as (select qid, term, df from query join terms using (term)), s as (select qid, count(*) as terms, sum(df)::bigint as postings from k group by 1),
@@ -57,7 +57,7 @@ run as (select qid, doc_id, score + mm * (case when maker = artist then 1.0 else
 def boosted_top10(spark, sf_dir):
     """BM25 with additions for a source that was asked for, titles, language and standing."""
     d, q = table(spark, sf_dir, "documents"), asked(spark, sf_dir)
-    run = R.top_k(R.bm25(document_index(spark, sf_dir), R.query_terms(q)), 20)
+    run = R.bm25_top(document_index(spark, sf_dir), R.query_terms(q), 20)
     facts = d.select(
         "doc_id", F.col("source").alias("artist"), F.array_join(F.slice(plain_tokens(F.col("text")), 1, 3), " ").alias("title"), F.col("lang").alias("mood"), (F.col("doc_id") % 100 / 100.0).alias("standing")
     )

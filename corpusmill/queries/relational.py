@@ -132,7 +132,7 @@ select qid, doc_id, cluster, versions, place::int as rank from r where place <=
 def collapse_versions(spark, sf_dir):
     """Equal texts shown once, with their number."""
     d = docs(spark, sf_dir)
-    run = retrieval.top_k(retrieval.bm25(retrieval.build_index(d), retrieval.query_terms(asked(spark, sf_dir))), 50)
+    run = retrieval.bm25_top(retrieval.build_index(d), retrieval.query_terms(asked(spark, sf_dir)), 50)
     keyed = d.select("doc_id", F.md5("text").alias("h"))
     groups = keyed.join(keyed.groupBy("h").agg(F.min("doc_id").alias("cluster")), "h").select("doc_id", "cluster")
     return R.collapse(run.select("qid", "doc_id", "rank"), groups, 10)

@@ -125,6 +125,40 @@ def test_query_likelihood_scores_every_document(spark, tiny):
     assert len(got) == 4 and max(got, key=lambda r: r["score"])["doc_id"] == 2
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_documents_are_found_where_they_lie(spark, tiny, monkeypatch):
+    from corpusmill.operators import scoring
+
+    monkeypatch.setattr(scoring, "ROWS", 2)  # queries in several blocks
+    index, query = retrieval.build_index(tiny), retrieval.query_terms(asked(spark, "rain night", "the hill", "day the the"))
+    rows = lambda df: sorted((r["qid"], r["doc_id"], round(r["score"], 5), r["rank"]) for r in df.collect())
+    for k in (1, 2, 9):
+        got = retrieval.bm25_top(index, query, k)
+        assert rows(got) == rows(retrieval.top_k(retrieval.bm25(index, query), k))
+        assert "[qid" in plan_of(got) and "doc_id" not in "".join(x for x in plan_of(got).splitlines() if "Exchange" in x)  # no row a query and document is shuffled
+        assert rows(retrieval.query_likelihood_top(index, query, k)) == rows(retrieval.top_k(retrieval.query_likelihood(index, query), k))
+
+
+def test_index_counts_words_of_a_text_without_a_shuffle(spark, tiny):
+    index = retrieval.build_index(tiny)
+    assert sorted((r["term"], r["tf"]) for r in index.postings.where("doc_id = 2").collect()) == [("in", 1), ("night", 1), ("rain", 2), ("the", 1)]
+    assert {r["doc_id"]: r["dl"] for r in index.docs.collect()} == {1: 4, 2: 5, 3: 4, 4: 0}
+    assert "Exchange" not in plan_of(index.postings) and "Exchange" not in plan_of(retrieval.boolean(index, ["the"], [["sun"]]))
+
+
+def test_phrases_are_compared_in_their_text(spark, monkeypatch):
+    from corpusmill.operators import scoring
+
+    monkeypatch.setattr(scoring, "ROWS", 3)
+    texts = spark.createDataFrame([(1, "a b a b a"), (2, "b a"), (3, None), (4, "a a a b")], "doc_id long, text string")
+    got = retrieval.phrase_matches(texts, asked(spark, "a b a", "a a", "b", "", "a c"))
+    assert sorted((r["qid"], r["doc_id"], r["n"]) for r in got.collect()) == [(0, 1, 2), (1, 4, 2), (2, 1, 2), (2, 2, 1), (2, 4, 1)]
+    assert "Exchange" not in plan_of(got)  # texts stay where they are
+
+
 def test_boolean_and_phrase(spark, tiny):
     index = retrieval.build_index(tiny)
     ids = lambda df: sorted(r["doc_id"] for r in df.collect())
