@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions.text import clean, has_marks, strip_marks, tokens
 from corpusmill.operators.retrieval import Index, idf, top_k
 from corpusmill.operators.scoring import target_ranks
+from corpusmill.plans.durable import Scratch
 
 
 def expanded(query: DataFrame, synonyms: DataFrame, weight: float = 0.3) -> DataFrame:
@@ -92,6 +93,7 @@ def classify_kinds(queries: DataFrame, vocabulary: DataFrame, folds: int = 5, bi
     from pyspark.ml.feature import IDF, HashingTF, IndexToString, StringIndexer, VectorAssembler
 
     rows = kind_folds(queries, "cluster", folds).join(query_features(queries, vocabulary), "qid").withColumn("grams", word_bound_ngrams(F.col("text")))
+    rows = Scratch(queries.sparkSession, "kinds").save(rows, "rows")  # every step of every fit reads them; the vocabulary is read once
     labels = StringIndexer(inputCol="kind", outputCol="label", stringOrderType="alphabetAsc").fit(rows)
     last = LogisticRegression(maxIter=30, regParam=0.01) if model == "logistic" else NaiveBayes(smoothing=0.1)
     steps = [
