@@ -92,12 +92,11 @@ def ranked_match_cascade(spark, sf_dir):
 @query("""select a.p_partkey as l_id, b.p_partkey as r_id from part a join part b on a.p_brand = b.p_brand and a.p_partkey <> b.p_partkey
 and contains(' ' || a.p_name || ' ', ' ' || string_split(b.p_name, ' ')[1] || ' ') and a.p_size = b.p_size""")
 def whole_word_match(spark, sf_dir):
-    from corpusmill.functions.text import has_phrase
-
     p = table(spark, sf_dir, "part")
-    a = p.select(F.col("p_partkey").alias("l_id"), "p_brand", "p_size", F.col("p_name").alias("l_name"))
+    words = F.explode(F.array_distinct(F.split("p_name", " "))).alias("word")  # a first word holds no space: it stands whole in a name as one of its words
+    a = p.select(F.col("p_partkey").alias("l_id"), "p_brand", "p_size", words)
     b = p.select(F.col("p_partkey").alias("r_id"), "p_brand", "p_size", F.split("p_name", " ")[0].alias("word"))
-    return a.join(b, ["p_brand", "p_size"]).where((F.col("l_id") != F.col("r_id")) & has_phrase(F.col("l_name"), F.col("word"))).select("l_id", "r_id")
+    return a.join(b, ["p_brand", "p_size", "word"]).where("l_id <> r_id").select("l_id", "r_id")
 
 
 _FACETS = "select 'brand' as attribute, p_brand as value from part union all select 'type', p_type from part union all select 'word', unnest(list_distinct(string_split(p_name, ' '))) from part"
