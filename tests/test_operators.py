@@ -251,6 +251,22 @@ def test_clusters_join_copies_and_near_copies(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 6}
 
 
+def test_all_similar_texts_are_found(spark):
+    rnd = random.Random(5)
+    rows = []
+    for g in range(60):  # pairs of a similarity just above a half, which bands miss now and then
+        words = [f"g{g}w{k}" for k in range(44)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[:30] + [f"h{g}x{k}" for k in range(9)]))]
+    rows += [(900, rows[0][1]), (901, ""), (902, "")]
+    rnd.shuffle(rows)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {d: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for d, t in rows}
+    want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    want = {p: j for p, j in want.items() if j >= 0.5}
+    got = {(r["a"], r["b"]): r["jaccard"] for r in dedup.similar_pairs(table, 0.5).collect()}
+    assert got == want and len(got) >= 61
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (None, 3)]
     out = connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test"))
@@ -267,6 +283,21 @@ def test_pagerank_sums_to_one_and_follows_links(spark):
     assert levels == {"c": 0, "b": 1, "a": 2}
 
 
+def test_pagerank_that_has_not_settled_is_no_result(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")], "src string, dst string")
+    with pytest.raises(RuntimeError, match="settle"):
+        graph.pagerank(edges, rounds=2, tolerance=1e-9)
+    ranks = {r["node"]: r["rank"] for r in graph.pagerank(edges, tolerance=0.1).collect()}
+    assert sum(ranks.values()) == pytest.approx(1) and min(ranks, key=ranks.get) == "d"
+
+
+def test_headings_keep_entities_other_than_the_ampersand(spark):
+    from corpusmill.operators.records import page_records
+
+    pages = spark.createDataFrame([(1, "<h1>a &amp; b = &quot;c&quot;</h1>")], "page_id long, html string")
+    assert page_records(pages).first()["title"] == "a & b = &quot;c&quot;"
+
+
 def test_label_propagation_splits_two_cliques(spark):
     pairs = [(f"{g}{i}", f"{g}{j}", 2.0) for g in "ab" for i in range(4) for j in range(i)] + [("a0", "b0", 1.0)]
     got = dict(map(tuple, graph.label_propagation(spark.createDataFrame(pairs, "src string, dst string, weight double")).collect()))
@@ -387,6 +418,23 @@ def test_answers_are_accepted_by_title_and_name(spark):
     assert got == {1: (1, "accept"), 2: (2, "review"), 3: (1, "review")}
 
 
+def test_bleu_counts_runs_in_their_row(spark):
+    from corpusmill.operators import resolution
+
+    pairs = spark.createDataFrame([(1, ["a", "a", "b", "a", "a"], ["a", "a", "b", "c", "a"]), (2, [], ["x"])], "id int, said array<string>, truth array<string>")
+    got = resolution.bleu(pairs)
+    row = got.first()
+    assert [row[f"p{n}"] for n in (1, 2, 3, 4)] == [0.8, 0.5, 0.333333, 0.0] and row["bleu"] == 0
+    assert "hashpartitioning" not in plan_of(got)
+
+
+def test_latent_vectors_are_those_of_the_products(spark):
+    from corpusmill.operators.resolution import _products
+
+    rows = spark.createDataFrame([([1.0, 2.0],), ([0.5, -1.0],), ([3.0, 0.0],)], "x array<double>").repartition(3)
+    assert _products(rows, 2).tolist() == [[10.25, 1.5], [1.5, 5.0]]
+
+
 def test_bleu_is_one_for_equal_texts(spark):
     from corpusmill.operators import resolution
 
